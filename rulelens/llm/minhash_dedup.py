@@ -4,8 +4,9 @@ Each set of word shingles gets a signature of ``symbols`` b-bit minhashes, and t
 symbols that differ. Signatures are split into ``chunks``; two within ``distance`` of each other have, by pigeonhole, some
 chunk with at most ``distance // chunks`` wrong symbols, so each signature is indexed under every chunk with every allowed
 choice of that many symbols left out. All pairs within the distance therefore meet under at least one key. At a similarity
-of 0.85 a symbol differs with probability 0.15, so 15 of 40 is exceeded by about one linked pair in twenty thousand, and
-pairs beyond it usually meet all the same.
+of 0.85 a symbol differs with probability 0.15, so 15 of 40 is exceeded by about one linked pair in five thousand, and pairs
+beyond it nearly always meet all the same (one in a million at 0.85 has two wrong symbols in every chunk). Pairs that meet
+but differ in more than ``reach`` symbols are not confirmed: at a similarity of 0.8 that is one linked pair in 100,000.
 
 Hot groups. Equal sets collapse to one class first, by a digest of the whole set. Under each key members are linked to the
 smallest one, a star instead of all pairs, and the links confirmed on the full sets; only pairs that share a key and whose
@@ -38,9 +39,9 @@ _U = np.uint64
 class Scheme:
     """Parameters of signatures and of their index."""
 
-    def __init__(self, shingle: int = 5, numerator: int = 80, denominator: int = 100, symbols: int = 40, chunks: int = 8, distance: int = 15, block: int = 2048):
+    def __init__(self, shingle: int = 5, numerator: int = 80, denominator: int = 100, symbols: int = 40, chunks: int = 8, distance: int = 15, reach: int = 20, block: int = 2048):
         self.shingle, self.numerator, self.denominator = shingle, numerator, denominator
-        self.symbols, self.chunks, self.distance, self.block = symbols, chunks, distance, block
+        self.symbols, self.chunks, self.distance, self.reach, self.block = symbols, chunks, distance, reach, block
         rng = np.random.default_rng(97)
         self.a = rng.integers(1, 1 << 32, symbols, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, symbols, dtype=np.uint32)
@@ -163,7 +164,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs under one key and in different components, at most ``distance`` apart; keys go by salted blocks."""
+    """Candidate pairs under one key and in different components, at most ``reach`` symbols apart; keys go by salted blocks."""
     block = scheme.block
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     counts = counts.where("lo < hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
@@ -195,7 +196,7 @@ def _cross_pairs(members: DataFrame, scheme: Scheme) -> DataFrame:
                 other &= own != own[i]
             at = np.flatnonzero(other)
             if len(at):
-                at = at[(sig[at] != sig[i]).sum(axis=1) <= scheme.distance]
+                at = at[(sig[at] != sig[i]).sum(axis=1) <= scheme.reach]
                 if len(at):
                     r = np.full(len(at), rep[i])
                     yield pd.DataFrame({"a": np.minimum(r, rep[at]), "b": np.maximum(r, rep[at])})
@@ -222,6 +223,16 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def keep_one(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """One document of each group of near-duplicates, with its columns: the smallest doc_id, once.
+
+    Rows of one doc_id are one document; rows without doc_id stay.
+    """
+    dropped = near_duplicates(docs, scheme).where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     scheme = scheme or Scheme()
@@ -241,7 +252,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     stars = cut(
         _near(
             stars.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"),
-            scheme.distance,
+            scheme.reach,
         )
     )
     linked = cut(confirm(stars, docs, scheme))

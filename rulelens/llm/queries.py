@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, minhash_dedup, quality
+from . import bpe, decontamination, license_scan, minhash_dedup, quality, secret_scan, warc
 
 VOCABULARY_FOLDER = "/opt/tokenizers"
 
@@ -29,6 +29,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_duplicate_scheme())
 
 
+def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,6 +49,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     here = vars(sys.modules[__name__])
     found = {k: f for k, f in here.items() if k.startswith("op") and k[2:3].isdigit()}
