@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, license_scan, minhash_dedup, quality, secret_scan, warc
+from . import bpe, decontamination, embedding_dedup, license_scan, minhash_dedup, quality, secret_scan, warc
 
 VOCABULARY_FOLDER = "/opt/tokenizers"
 
@@ -25,6 +25,10 @@ def near_duplicate_scheme() -> minhash_dedup.Scheme:
     return minhash_dedup.Scheme(shingle=3, numerator=85, denominator=100)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_duplicate_scheme())
 
