@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, license_scan, minhash_dedup, quality, secret_scan, warc
+from . import bpe, chat_format, decontamination, embedding_dedup, license_scan, minhash_dedup, pii, quality, secret_scan, warc
 
 VOCABULARY_FOLDER = "/opt/tokenizers"
 
@@ -37,10 +37,19 @@ def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "rulelens") -> DataFrame:
+    """Whole texts with surrogates; a deployment gives a key of its own."""
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.stale_reply_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary())
 
