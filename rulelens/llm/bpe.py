@@ -66,7 +66,7 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     n = len(symbols)
     if n < 2:
         return symbols
-    get = ranks.get
+    symbols, get = list(symbols), ranks.get
     # a node holds rank * 2**32 + leaf, so the lesser of two nodes is the lower rank, and of equal ranks the left one
     size = 1 << (n - 2).bit_length() if n > 2 else 1
     tree = [_NONE] * (2 * size)
