@@ -61,12 +61,16 @@ def scan_dates(question: str | None) -> tuple[list[dict], bool]:
     return sorted(out, key=lambda x: x["start"]), ambiguous
 
 
-@F.pandas_udf(MENTIONS)
-def date_mentions(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def date_mentions(question: Column) -> Column:
     """Spans that exclude one another by precedence are no regular language, hence Arrow batches; one call for each question."""
-    for questions in parts:
-        found = [scan_dates(q) for q in questions]
-        yield pd.DataFrame({"mentions": [m for m, _ in found], "ambiguous": [a for _, a in found]})
+
+    @F.pandas_udf(MENTIONS)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for questions in parts:
+            found = [scan_dates(q) for q in questions]
+            yield pd.DataFrame({"mentions": [m for m, _ in found], "ambiguous": [a for _, a in found]})
+
+    return run(question)
 
 
 def source_date(text: Column) -> Column:
@@ -86,7 +90,7 @@ def date_context(questions: DataFrame) -> DataFrame:
     ``given_change`` and ``given_determination`` may be null; one that contradicts a written date of its role, or comes with
     an ambiguous one, is an error, kept in a column.
     """
-    q = questions.withColumn("found", date_mentions("question"))
+    q = questions.withColumn("found", date_mentions(F.col("question")))
     m = F.col("found.mentions")
     near = lambda x, r: F.substring(F.col("question"), F.greatest(x["start"] - r, F.lit(0)) + 1, x["end"] + r - F.greatest(x["start"] - r, F.lit(0)))
 

@@ -45,22 +45,38 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def stem(token: Column) -> Column:
-    """The first suffix rule that applies, after a possessive is dropped."""
-    t = F.when(F.endswith(token, F.lit("'s")), F.substring(token, F.lit(1), F.length(token) - 2)).otherwise(token)
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable stands for it, so that plans stay small."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _bare(token: Column) -> Column:
+    return F.when(F.endswith(token, F.lit("'s")), F.substring(token, F.lit(1), F.length(token) - 2)).otherwise(token)
+
+
+def _suffix(t: Column) -> Column:
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
-    ing = cut(3)
-    twice = (n > 5) & (F.substring(t, n - 3, F.lit(1)) == F.substring(t, n - 4, F.lit(1)))
+    twice = F.substring(t, n - 3, F.lit(1)) == F.substring(t, n - 4, F.lit(1))
     return (
-        F.when((n > 5) & (F.endswith(t, F.lit("ies")) | F.endswith(t, F.lit("ied"))), F.concat(cut(3), F.lit("y")))
-        .when((n > 5) & F.endswith(t, F.lit("ing")), F.when(twice, cut(4)).otherwise(ing))
+        F.when((n > 5) & t.rlike("i(?:es|ed)$"), F.concat(cut(3), F.lit("y")))
+        .when((n > 5) & F.endswith(t, F.lit("ing")), F.when(twice, cut(4)).otherwise(cut(3)))
         .when((n > 4) & F.endswith(t, F.lit("ed")), cut(2))
-        .when((n > 3) & F.endswith(t, F.lit("s")) & ~F.endswith(t, F.lit("ss")), cut(1))
+        .when((n > 3) & t.rlike("[^s]s$"), cut(1))
         .otherwise(t)
     )
 
 
+def stems(tokens: Column) -> Column:
+    """T3 over an array: the first suffix rule that applies to each, after a possessive is dropped."""
+    return F.transform(F.transform(tokens, _bare), _suffix)
+
+
+def stem(token: Column) -> Column:
+    """T3 of one token."""
+    return stems(F.array(token))[0]
+
+
 def raw_tokens(text: Column) -> Column:
     """Tokens of the lower-cased text, without section and dollar signs or thousands commas."""
     found = extract_all(F.lower(text), TOKEN)
@@ -77,19 +93,18 @@ def _expansion_map(lexicon: Lexicon) -> Column:
 def tokenize(text: Column, expand: bool = False, keep_stop_words: bool = False, lexicon: Lexicon = DEFAULT) -> Column:
     """Stems, repeats kept; a token goes if it or its stem is a stop word; expansions follow at the end."""
     empty = F.array().cast("array<string>")
-    raw = raw_tokens(text)
     stop = words(lexicon.stop_words)
-    kept = raw if keep_stop_words else F.filter(raw, lambda t: ~F.array_contains(stop, t) & ~F.array_contains(stop, stem(t)))
-    stems = F.transform(kept, stem)
+    pairs = let(raw_tokens(text), lambda raw: F.zip_with(raw, stems(raw), lambda r, s: F.struct(r.alias("r"), s.alias("s"))))
+    if not keep_stop_words:
+        pairs = F.filter(pairs, lambda p: ~F.array_contains(stop, p["r"]) & ~F.array_contains(stop, p["s"]))
     if not expand:
-        return F.coalesce(stems, empty)
+        return F.coalesce(F.transform(pairs, lambda p: p["s"]), empty)
     table = _expansion_map(lexicon)
     look = lambda t: F.coalesce(F.element_at(table, t), empty)
-    own = F.flatten(F.transform(kept, lambda t: F.concat(look(t), look(stem(t)))))
-    parts = [stems, F.transform(own, stem)]
-    for phrase, terms in lexicon.phrases.items():
-        parts.append(F.when(F.contains(F.lower(text), F.lit(phrase)), F.transform(F.array(*map(F.lit, terms)), stem)).otherwise(empty))
-    return F.coalesce(F.concat(*parts), empty)
+    own = let(pairs, lambda ps: F.concat(F.transform(ps, lambda p: p["s"]), stems(F.flatten(F.transform(ps, lambda p: F.concat(look(p["r"]), look(p["s"])))))))
+    said = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, v)).alias("v")) for k, v in lexicon.phrases.items()])
+    phrased = let(F.lower(text), lambda low: stems(F.flatten(F.transform(F.filter(said, lambda x: F.contains(low, x["k"])), lambda x: x["v"]))))
+    return F.coalesce(F.concat(own, phrased) if lexicon.phrases else own, empty)
 
 
 def term_set(text: Column, expand: bool = False, lexicon: Lexicon = DEFAULT) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,18 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[‐‑‒–—−]", "-"), r"\s+", " "))
 
 
-@F.pandas_udf("string")
-def folded(texts):
+def _folded(one):
+    import pandas as pd
+
+    def run(parts):
+        for texts in parts:
+            yield texts.map(one)
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")
+
+
+def folded(text: Column) -> Column:
     """F8 in full: NFKC, case folding, one kind of hyphen, single blanks."""
     import re
     import unicodedata
@@ -27,7 +39,7 @@ def folded(texts):
     def one(t):
         return None if t is None else " ".join(re.sub("[‐‑‒–—−]", "-", unicodedata.normalize("NFKC", t).casefold()).split())
 
-    return texts.map(one)
+    return _folded(one)(text)
 
 
 def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,14 @@ def load_corpus(spark: SparkSession, index: str, findings: str, contacts: str, t
     return Corpus(chunks.join(vectors, "chunk_id"), companions.load_findings(spark, findings), companions.load_contacts(spark, contacts), rules, tuple(topics))
 
 
+def settled_table(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder that the cluster names, so that later steps reread it instead of planning it anew."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulelens-"))
+    return df.checkpoint(eager=True)
+
+
 def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = companions.Settings(), lexicon: Lexicon = DEFAULT, trace: bool = False) -> DataFrame:
     """Answers to questions(qid, question[, given_change, given_determination]), all in one plan.
 
@@ -66,9 +75,9 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
         rest = questions.join(settled.select("qid"), "qid", "left_anti")
     asked = embed(rest.select("qid", "question"), "question", settings.dimension)
     config = retrieval.RetrievalConfig(settings.dense_k, settings.lexical_k, settings.final_k, hashing=settings.hashing)
-    candidates, primary = retrieval.hybrid(asked, chunks, config, lexicon)
+    candidates, primary = map(settled_table, retrieval.hybrid(settled_table(asked), chunks, config, lexicon))
     found = companions.findings_list(corpus.findings)
-    context = expansion.expand(rest, primary, candidates, chunks, found, settings.final_k, lexicon)
+    context = settled_table(expansion.expand(rest, primary, candidates, chunks, found, settings.final_k, lexicon))
     scores = candidates.select("qid", "chunk_id", "vector_score", "lexical_score", "vector_rank", "lexical_rank")
     retrieved = context.join(scores, ["qid", "chunk_id"], "left").withColumn("fused_score", F.col("score")).withColumn("reranker_score", F.lit(None).cast("double")).drop("score")
 
@@ -77,10 +86,10 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     gaps = rest.join(kinds("gap")).where(finding_matches(F.col("question"), F.col("trigger_patterns"), F.col("topic_terms"), lexicon))
     gap_clauses = gaps.select("qid", F.explode("clause_ids").alias("clause_id"))
     suppressed = corpus.suppressed if corpus.suppressed is not None else spark.createDataFrame([], "lo string, hi string, unless_pattern string")
-    evidence = E.grade(rest, retrieved, chunks, gap_clauses, settings.refusal, settings.coverage, lexicon)
-    clashes = E.conflicts(rest, retrieved, chunks, kinds("conflict"), suppressed, lexicon)
+    evidence = settled_table(E.grade(rest, retrieved, chunks, gap_clauses, settings.refusal, settings.coverage, lexicon))
+    clashes = settled_table(E.conflicts(rest, retrieved, chunks, kinds("conflict"), suppressed, lexicon))
     missing = E.missing_aspects(rest, evidence, chunks, lexicon)
-    decided = E.decide(rest, evidence, clashes, gaps.select("qid", "seq", "explanation"), missing, settings.refusal, lexicon)
+    decided = settled_table(E.decide(rest, evidence, clashes, gaps.select("qid", "seq", "explanation"), missing, settings.refusal, lexicon))
 
     title = F.concat_ws(" ", F.coalesce("section_title", F.lit("")), "text")
     direct = evidence.where("support = 'DIRECT'").join(chunks.select("chunk_id", "section_id", term_set(title, lexicon=lexicon).alias("doc_terms")), "chunk_id")
