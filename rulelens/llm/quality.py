@@ -99,7 +99,7 @@ def fit(train: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
 
     found = (
         train.mapInPandas(featurise, "o long, label int, f binary")
-        .coalesce(1)
+        .repartition(1)  # the bounded sample alone moves into one task; coalescing would pull the scan into it
         .mapInPandas(learn, "i long, w double")
         .toPandas()
     )
