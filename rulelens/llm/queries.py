@@ -55,7 +55,7 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +72,30 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: Smallest node reachable over links(a, b) from each of nodes(id).
+_COMPONENTS = """sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, c) AS (SELECT id, id FROM nodes UNION SELECT r.id, s.b FROM reach r JOIN sym s ON s.a = r.c), comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"""
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{0}')"
+
+_ORACLE = {
+    "op1_embedding_near_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id < y.vec_id AND x.n > 0 AND y.n > 0 WHERE list_inner_product(x.v, y.v) / x.n / y.n >= 0.93e0),
+{_COMPONENTS} SELECT id AS vec_id, (SELECT count(*) FROM sym WHERE sym.a = id) AS n_links, component_id, id = component_id AS kept FROM comp""",
+    "op2_minhash_near_dedup": f"""WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents), w AS (SELECT doc_id, {_WORDS.format('[^\\x20\\x09-\\x0D]+')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE n.doc_id = x.doc_id) + (SELECT n FROM n WHERE n.doc_id = y.doc_id) - count(*))),
+{_COMPONENTS} SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = id""",
+    "op8_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS.format('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM benchmark),
+iw AS (SELECT item_id, least(13, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda p: array_to_string(w[p:p + least(13, len(w)) - 1], ' '))) AS t FROM i WHERE len(w) > 0),
+dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS t FROM d CROSS JOIN (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+m AS (SELECT dw.doc_id, dw.p, dw.k, iw.item_id FROM dw JOIN iw ON dw.t = iw.t AND dw.k = iw.k), h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it expresses a query; the others are tested against brute force in tests/llm."""
+    return dict(_ORACLE)
