@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 from .components import connected_components
-from .minhash_dedup import runs
+
+#: Buckets of no more members than this are met many at a time.
+SMALL = 48
 
 
 class Hashing:
@@ -78,9 +80,72 @@ def linked(rows: DataFrame, h: Hashing, cosine: float) -> DataFrame:
     keys = ["dim", "label", "tab", "bucket", "p", "q"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(batches, keys):
-            if len(g) > 1:
-                yield from meet(g)
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held, edges = None, _edges(pdf, keys)
+            # the last bucket of a batch may go on in the next one
+            held = pdf.iloc[edges[-2] :].reset_index(drop=True)
+            yield from buckets(pdf.iloc[: edges[-2]], edges[:-1])
+        if held is not None:
+            yield from buckets(held, _edges(held, keys))
+
+    def buckets(pdf: pd.DataFrame, edges: np.ndarray) -> Iterator[pd.DataFrame]:
+        size = np.diff(edges)
+        for g in np.flatnonzero(size > SMALL):
+            yield from meet(pdf.iloc[edges[g] : edges[g + 1]])
+        end = np.repeat(edges[1:], size)
+        few = np.repeat((size > 1) & (size <= SMALL), size)
+        if few.any():
+            # rows keep their order, so the ends move by what is left out before them
+            left_out = np.cumsum(~few)
+            end = (end - left_out[np.minimum(end, len(few)) - 1])[few]
+            yield from small(pdf[few], end)
+
+    def small(pdf: pd.DataFrame, end: np.ndarray) -> Iterator[pd.DataFrame]:
+        """All small buckets of a batch at once: each row with the next one of its bucket, then with the one after, and so on."""
+        n = len(pdf)
+        at, rep, own, copies = np.arange(n), pdf["rep"].to_numpy(), pdf["own"].to_numpy(), pdf["copies"].to_numpy()
+        tab, apart, dim = pdf["tab"].to_numpy(), (pdf["p"] != pdf["q"]).to_numpy(), pdf["dim"].to_numpy()
+        first, second = [], []
+        for d in np.unique(dim):
+            rows_ = np.flatnonzero(dim == d)
+            x = np.frombuffer(b"".join(pdf["vec"].iloc[rows_])).reshape(len(rows_), -1)
+            place = np.full(n, -1)
+            place[rows_] = np.arange(len(rows_))
+            for lag in range(1, SMALL):
+                i = rows_[at[rows_] + lag < end[rows_]]
+                if not len(i):
+                    break
+                j = i + lag
+                i, j = (v[~apart[i] | (own[i] != own[j])] for v in (i, j))
+                ok = np.einsum("ij,ij->i", x[place[i]], x[place[j]]) >= cosine
+                first.append(i[ok])
+                second.append(j[ok])
+        i, j = np.concatenate(first or [at[:0]]), np.concatenate(second or [at[:0]])
+        if not len(i):
+            return
+        same = np.frombuffer(b"".join(pdf["sig"].iloc[i]), wide).reshape(len(i), -1) == np.frombuffer(b"".join(pdf["sig"].iloc[j]), wide).reshape(len(i), -1)
+        fresh = same.argmax(axis=1) == tab[i]
+        count = np.zeros(n, np.int64)
+        np.add.at(count, i[fresh], copies[j[fresh]])
+        np.add.at(count, j[fresh], copies[i[fresh]])
+        root: dict[int, int] = {}
+        a, b = [], []
+        for u, v in zip(i.tolist(), j.tolist(), strict=True):
+            while (k := root.get(u, u)) != u:
+                u = k
+            while (k := root.get(v, v)) != v:
+                v = k
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                a.append(rep[max(u, v)])
+                b.append(rep[min(u, v)])
+        met = np.flatnonzero(count)
+        if len(met):
+            yield pd.DataFrame({"a": rep[met], "b": pd.array([None] * len(met), "Int64"), "n": pd.array(count[met], "Int64")})
+        if a:
+            yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "n": pd.array([None] * len(a), "Int64")})
 
     def meet(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
         x = np.frombuffer(b"".join(g["vec"])).reshape(len(g), -1)
@@ -142,6 +207,15 @@ def linked(rows: DataFrame, h: Hashing, cosine: float) -> DataFrame:
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long, n long")
 
 
+def _edges(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the runs of equal keys begin, and the number of rows; for no rows, (0, 0)."""
+    new = np.zeros(max(len(pdf) - 1, 0), bool)
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(pdf)]])
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of many links among n members."""
     low = np.arange(n)
