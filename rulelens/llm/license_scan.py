@@ -107,11 +107,10 @@ def aligned(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> DataFram
         postings += [(w, t, i) for i, w in enumerate(words) if w in top]
     index = spark.createDataFrame(postings, "word string, template int, place int")
 
-    ready = F.filter(
-        F.array(*[F.when(_all_in(F.col("line"), keys), F.lit(t)) for t, (_, _, keys) in enumerate(TEMPLATES)]),
-        lambda t: t.isNotNull(),
-    )
-    likely = lines.withColumn("ready", ready).where(F.size("ready") > 0)
+    # the line is bound once, not spelt out for each phrase; most texts go by a pattern over the plain text before that
+    met_by = lambda line: F.array_compact(F.array(*[F.when(_all_in(line, keys), F.lit(t)) for t, (_, _, keys) in enumerate(TEMPLATES)]))
+    likely = docs.where(F.col("text").rlike(_likely())).select(_key().alias("key"), padded_words(F.col("text")).alias("line"))
+    likely = likely.withColumn("ready", F.transform(F.array("line"), met_by)[0]).where(F.size("ready") > 0)
     chosen = F.slice(F.array_intersect(order, F.split("line", " ")), 1, rare)
     words = F.split(F.substring(F.col("line"), F.lit(2), F.length("line")), " ")
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
@@ -135,6 +134,12 @@ def aligned(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> DataFram
     return scored.where(F.col("score") >= share).groupBy("key", "label").agg(F.max("score").alias("score"))
 
 
+def _likely() -> str:
+    """A pattern that every text with some template's key phrases matches: the longest word of each first phrase."""
+    words = sorted({max(keys[0].split(), key=len) for _, _, keys in TEMPLATES})
+    return f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(words)})(?![A-Za-z0-9])"
+
+
 def _all_in(line: Column, phrases: list[str]) -> Column:
     out = F.lit(True)
     for p in phrases:
