@@ -13,7 +13,6 @@ into several automata, and the documents pass through one after another, so no i
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,8 +178,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
             yield pd.Series(out, dtype=bool)
 
     return docs.where(~dirty(F.col("text")))
-
-
-def items_digest(items) -> str:
-    """Reference form of the digest, for tests."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
