@@ -5,13 +5,14 @@ symbols that differ. Signatures are split into ``chunks``; two within ``distance
 chunk with at most ``distance // chunks`` wrong symbols, so each signature is indexed under every chunk with every allowed
 choice of that many symbols left out. All pairs within the distance therefore meet under at least one key. At a similarity
 of 0.85 a symbol differs with probability 0.15, so 15 of 40 is exceeded by about one linked pair in five thousand, and pairs
-beyond it nearly always meet all the same (one in a million at 0.85 has two wrong symbols in every chunk). Pairs that meet
-but differ in more than ``reach`` symbols are not confirmed: at a similarity of 0.8 that is one linked pair in 100,000.
+beyond it nearly always meet all the same (one in a million at 0.85 has two wrong symbols in every chunk). Star links
+that differ in more than ``reach`` symbols are left to the blocks.
 
 Hot groups. Equal sets collapse to one class first, by a digest of the whole set. Under each key members are linked to the
-smallest one, a star instead of all pairs, and the links confirmed on the full sets; only pairs that share a key and whose
-classes are still in different components are then compared, in salted blocks, and confirmed too. Which pairs inside one
-component link further cannot change the components, so nothing is lost and no group is expanded into its pairs.
+smallest one, a star instead of all pairs, and the links confirmed on the full sets. Keys whose members are then still in
+different components send the members' full sets to salted blocks, where every pair across components is compared in place
+and only links that join two of them leave. Which pairs inside one component link further cannot change the components, so
+nothing is lost and no group is expanded into its pairs.
 
 Defined results: a text without words, or null, has an empty set and links with nothing (its component is its own doc_id);
 fewer words than the shingle length make one shingle; repeated rows are equal sets; null doc_ids are ignored as
@@ -39,7 +40,7 @@ _U = np.uint64
 class Scheme:
     """Parameters of signatures and of their index."""
 
-    def __init__(self, shingle: int = 5, numerator: int = 80, denominator: int = 100, symbols: int = 40, chunks: int = 8, distance: int = 15, reach: int = 20, block: int = 2048):
+    def __init__(self, shingle: int = 5, numerator: int = 80, denominator: int = 100, symbols: int = 40, chunks: int = 8, distance: int = 15, reach: int = 20, block: int = 400_000):
         self.shingle, self.numerator, self.denominator = shingle, numerator, denominator
         self.symbols, self.chunks, self.distance, self.reach, self.block = symbols, chunks, distance, reach, block
         rng = np.random.default_rng(97)
@@ -163,46 +164,78 @@ def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs under one key and in different components, at most ``reach`` symbols apart; keys go by salted blocks."""
-    block = scheme.block
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    counts = counts.where("lo < hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+def _sets(docs: DataFrame, ids: DataFrame, scheme: Scheme) -> DataFrame:
+    """(rep, shingles): the whole sets of some documents, six bytes of hash a shingle, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            packed = [b""] * len(pdf)
+            for i, s in shingle_sets(pdf["text"], scheme.shingle):
+                packed[i] = s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+            yield pd.DataFrame({"rep": pdf["rep"], "shingles": packed})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return texts.join(ids.select("rep").distinct(), "rep").mapInPandas(run, "rep long, shingles binary")
+
+
+def _cross_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) between components that share keys: a spanning forest of those in each block.
+
+    ``members`` are (key, rep, comp, n_shingles). Keys of one component are done. The whole sets of the others' members meet
+    in blocks of a bounded number of shingles, where each row outside the largest component is compared with all rows, on
+    full sets, and only links that join two components leave.
+    """
+    counts = members.groupBy("key").agg(F.sum("n_shingles").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    counts = counts.where("lo < hi").select("key", F.ceil(F.col("w") / scheme.block).cast("int").alias("parts"))
     placed = (
         members.join(counts, "key")
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "comp", "sig")
+        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "comp")
     )
+    placed = cut(placed)
+    num, den = scheme.numerator, scheme.denominator
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, ["key", "p", "q"]):
-            yield from near(group)
-
-    def near(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        comp = g["comp"].to_numpy()
-        if len(g) < 2 or (comp == comp[0]).all():
-            return
-        rep, own = g["rep"].to_numpy(), g["own"].to_numpy()
-        apart = g["p"].iloc[0] != g["q"].iloc[0]
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-        kinds, sizes = np.unique(comp, return_counts=True)
-        main = kinds[sizes.argmax()]
-        # pairs inside the largest component need no look, so only the others' rows are compared with all
-        for i in np.flatnonzero(comp != main):
-            other = comp != comp[i]
-            other &= (comp == main) | (rep > rep[i])
-            if apart:
-                other &= own != own[i]
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[(sig[at] != sig[i]).sum(axis=1) <= scheme.reach]
-                if len(at):
-                    r = np.full(len(at), rep[i])
-                    yield pd.DataFrame({"a": np.minimum(r, rep[at]), "b": np.maximum(r, rep[at])})
+            found = meet(group["rep"].to_numpy(), group["comp"].to_numpy(), group["shingles"].tolist())
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    def meet(rep: np.ndarray, comp: np.ndarray, packed: list) -> list[tuple[int, int]]:
+        kinds, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return []
+        n = np.array([len(x) // 6 for x in packed])
+        wide = np.zeros((int(n.sum()), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
+        number = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)[1]
+        start = np.concatenate([[0], np.cumsum(n)[:-1]])
+        mark = np.zeros(int(number.max()) + 1, bool)
+        root = list(range(len(kinds)))
+        out = []
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for i in np.flatnonzero(at != sizes.argmax()):
+            mine = number[start[i] : start[i] + n[i]]
+            mark[mine] = True
+            same = np.add.reduceat(mark[number], start, dtype=np.int64)
+            mark[mine] = False
+            for j in np.flatnonzero((den * same >= num * (n[i] + n - same)) & (at != at[i])):
+                u, v = top(at[i]), top(at[j])
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return out
 
     keys = ["key", "p", "q"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    rows = placed.join(_sets(docs, placed, scheme), "rep").select(*keys, "rep", "comp", "shingles")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -237,7 +270,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     scheme = scheme or Scheme()
     rows = cut(sketch(docs, scheme))
-    classes = cut(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    classes = cut(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
 
     @F.pandas_udf("array<long>")
     def keys_of(sigs: pd.Series) -> pd.Series:
@@ -259,9 +292,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     first = connected_components(linked)
 
     members = shared.select("key", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    members = members.withColumn("comp", F.coalesce("component", "rep")).drop("component").join(sigs, "rep")
-    more = cut(_cross_pairs(members, scheme).distinct().join(stars, ["a", "b"], "left_anti"))
-    final = connected_components(linked.unionByName(confirm(more, docs, scheme)))
+    members = members.withColumn("comp", F.coalesce("component", "rep")).drop("component").join(classes.select("rep", "n_shingles"), "rep")
+    final = connected_components(linked.unionByName(_cross_links(members, docs, scheme)))
 
     named = classes.select("set_key", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("set_key", F.coalesce("component", "rep").alias("c"))
