@@ -1,13 +1,13 @@
 """Licence scan by a positional rare-token index, in built-in column functions only.
 
 Texts are lower-cased (A-Z) and cut into words at every other ASCII non-letter, non-digit. Base places are where a phrase's
-words stand consecutively. Beyond them, each text's rarest licence words (highest inverse document frequency over the whole
-corpus) are looked up in the postings of the licence templates; a posting at template place t met at text place i votes for
-the alignment i - t, and a template whose alignment gathers enough of its words and whose mandatory key phrases all stand in
-the text adds its label.
+words stand consecutively. Beyond them, each template whose mandatory key phrases all stand in a text has its own rarest
+words (highest inverse document frequency over the whole corpus) looked up there, wherever they stand; a word of template
+place t met at text place i votes for the alignment i - t, and a template whose alignment gathers enough of these words adds
+its label. What else a text holds takes nothing from a template, so one that stands in it word for word is always found.
 
 The templates, hence the vocabulary, its frequencies and the postings, are fixed and small whatever the corpus: only they
-are broadcast or come to the driver. Texts are not shuffled; only the few rare words of likely files are.
+are broadcast or come to the driver. Texts are not shuffled; only the looked-up words of likely files are.
 
 Defined results: null and wordless texts have no words, no places, empty labels and score 0; a licence that is named twice
 counts every place and one label; repeated rows get equal results each; other columns are ignored; no rows give no rows.
@@ -42,7 +42,7 @@ TEMPLATES = [
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ["cc0"]),
     ("proprietary", "all rights reserved no part may be reproduced without prior written permission", ["all rights reserved"]),
 ]
-#: How many of a text's rarest licence words are looked up, and the share of a template's looked-up words that must align.
+#: How many of a template's rarest words are looked up, and the share of them that must align.
 RARE, SHARE = 8, 0.6
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,13 +97,11 @@ def aligned(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> DataFram
     lines = docs.select(_key().alias("key"), padded_words(F.col("text")).alias("line"))
     _, weight = word_weights(lines.select("line"))
     ranked = sorted(weight, key=lambda w: (-weight[w], w))
-    order = _literal_set(ranked)
-    # ``order`` lists licence words by falling weight and array_intersect keeps its order, so the first are the rarest
-    postings, quota = [], {}
+    postings, tops = [], []
     for t, (_, wording, _) in enumerate(TEMPLATES):
         words = wording.split()
         top = sorted(set(words), key=ranked.index)[:rare]
-        quota[t] = len(top)
+        tops.append(_literal_set(top))
         postings += [(w, t, i) for i, w in enumerate(words) if w in top]
     index = spark.createDataFrame(postings, "word string, template int, place int")
 
@@ -111,7 +109,8 @@ def aligned(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> DataFram
     met_by = lambda line: F.array_compact(F.array(*[F.when(_all_in(line, keys), F.lit(t)) for t, (_, _, keys) in enumerate(TEMPLATES)]))
     likely = docs.where(F.col("text").rlike(_likely())).select(_key().alias("key"), padded_words(F.col("text")).alias("line"))
     likely = likely.withColumn("ready", F.transform(F.array("line"), met_by)[0]).where(F.size("ready") > 0)
-    chosen = F.slice(F.array_intersect(order, F.split("line", " ")), 1, rare)
+    # every ready template looks up its own words, so templates and other licence words take no places from each other
+    chosen = F.array_distinct(F.flatten(F.transform("ready", lambda t: F.get(F.array(*tops), t))))
     words = F.split(F.substring(F.col("line"), F.lit(2), F.length("line")), " ")
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     met = likely.withColumn("chosen", chosen).select(
@@ -127,8 +126,8 @@ def aligned(docs: DataFrame, rare: int = RARE, share: float = SHARE) -> DataFram
         .agg(F.max("hits").alias("hits"))
     )
     info = spark.createDataFrame(
-        [(t, label, min(quota[t], rare), len([p for p in postings if p[1] == t])) for t, (label, _, _) in enumerate(TEMPLATES)],
-        "template int, label string, quota int, posted int",
+        [(t, label, len([p for p in postings if p[1] == t])) for t, (label, _, _) in enumerate(TEMPLATES)],
+        "template int, label string, posted int",
     )
     scored = votes.join(F.broadcast(info), "template").withColumn("score", F.least(F.lit(1.0), F.col("hits") / F.col("posted")))
     return scored.where(F.col("score") >= share).groupBy("key", "label").agg(F.max("score").alias("score"))

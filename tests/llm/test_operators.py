@@ -264,6 +264,20 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_verbatim_notices_keep_their_labels(spark):
+    wordings = [(label, wording) for label, wording, _ in license_scan.TEMPLATES]
+    every = sorted({w for _, wording in wordings for w in wording.split()})
+    pairs = [(a, b) for a, b in itertools.combinations(wordings, 2)]
+    texts = [f"{a} zz {b}" for (_, a), (_, b) in pairs] + [f"{' '.join(every)} zz {wording} zz {' '.join(reversed(every))}" for _, wording in wordings]
+    texts.append("\n\n".join(wording for _, wording in wordings))
+    # plain texts make the licence words that stand in prose common, the others rare
+    texts += [f"the terms of the work and its use are subject to a written form {i}" for i in range(200)]
+    want = [{a, b} for (a, _), (b, _) in pairs] + [{label} for label, _ in wordings] + [{label for label, _ in wordings}] + [set()] * 200
+    got = by_id(license_scan.scan(frame(spark, texts)))
+    lost = [(t[:80], w - set(got[i].labels.split(","))) for i, (t, w) in enumerate(zip(texts, want, strict=True)) if w - set(got[i].labels.split(","))]
+    assert lost == [] and all(got[i].labels == "" for i in range(len(texts) - 200, len(texts)))
+
+
 # 6 ---------------------------------------------------------------------------------------------------
 
 
