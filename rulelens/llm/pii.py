@@ -50,8 +50,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:(?:{_ANY_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?|(?:{_ANY_GIVEN})\x20{_WORD})",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity holds: two digits in a row or about a dot, an at sign between characters, or a title or known given name before a blank.
-HINT = rf"[0-9]\.?[0-9]|\S@\S|(?:{_ANY_TITLE}|{_ANY_GIVEN})\.?\x20"
+#: What every entity holds: two digits in a row or about one blank, dot or hyphen, an at sign between characters, or a title or known given name before a blank.
+HINT = rf"[0-9][\x20.-]?[0-9]|\S@\S|(?:{_ANY_TITLE}|{_ANY_GIVEN})\.?\x20"
 _MENTION = "array<struct<kind:string,value:string>>"
 
 
