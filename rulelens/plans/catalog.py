@@ -269,6 +269,20 @@ def modal_actions(spark, sf_dir):
     return part(True, "negative").unionByName(part(False, "positive"))
 
 
+@query(
+    f"""WITH r AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM ({_RULES}) x(id, text)),
+n AS (SELECT id, unnest(regexp_extract_all(text, '(?i)\\b(?:must not|shall not|may not)\\s+(?:be\\s+)?([a-z]+)', 1)) AS a FROM r),
+p AS (SELECT id, unnest(regexp_extract_all(regexp_replace(text, '(?i)\\b(must|shall|may)\\s+not\\b', '-', 'g'), '(?i)\\b(?:must|shall|may)\\s+(?:be\\s+)?([a-z]+)', 1)) AS a FROM r)
+SELECT DISTINCT id, 'negative' AS kind, lower(a) AS action FROM n UNION SELECT DISTINCT id, 'positive', lower(a) FROM p"""
+)
+def document_actions(spark, sf_dir):
+    """What ``modal_actions`` shows on a few sentences, over all documents; the sentences have negative ids."""
+    probe = spark.sql(f"SELECT CAST(-id AS BIGINT) AS id, text FROM ({_RULES}) x(id, text)")
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(probe)
+    part = lambda neg, kind: r.select("id", F.lit(kind).alias("kind"), F.explode(T.actions(F.col("text"), neg)).alias("action"))
+    return part(True, "negative").unionByName(part(False, "positive"))
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def title_slug(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
