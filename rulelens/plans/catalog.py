@@ -288,6 +288,12 @@ def title_slug(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def document_slug(spark, sf_dir):
+    """``title_slug`` of whole texts, as P12 has it, so that different documents with a common opening stay apart."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
 # --- joins and sets (J4-J20, U3) ---------------------------------------------------------------------
 
 

@@ -26,3 +26,12 @@ def test_actions_of_all_documents(spark, tmp_path):
         (0, "negative", "delay"), (0, "negative", "refused"), (0, "positive", "pay"), (1, "positive", "heard"),
     ]
     assert {r[0] for r in got if r[0] < 0} == {-1, -2, -3}
+
+
+def test_slugs_of_whole_texts(spark, tmp_path):
+    start = "One opening, of sixty characters or more, that many documents have"
+    texts = [f"{start}: the first", f"{start}: the second!", "--", "", "Ünder  Ä_1"]
+    got, want = rows_of(spark, written(spark, tmp_path, texts), "document_slug")
+    assert got == want
+    slug = "one-opening-of-sixty-characters-or-more-that-many-documents-have"
+    assert got == [(0, f"{slug}-the-first"), (1, f"{slug}-the-second"), (2, ""), (3, ""), (4, "nder-1")]
