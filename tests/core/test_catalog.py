@@ -1,7 +1,10 @@
 """Registered queries of the catalogue over small tables, and against their SQL."""
 
 import duckdb
+from rulelens.functions import text as T
+from rulelens.functions import vectors as V
 from rulelens.plans import catalog
+from rulelens.sources import companions
 
 
 def written(spark, folder, texts):
@@ -35,3 +38,11 @@ def test_slugs_of_whole_texts(spark, tmp_path):
     assert got == want
     slug = "one-opening-of-sixty-characters-or-more-that-many-documents-have"
     assert got == [(0, f"{slug}-the-first"), (1, f"{slug}-the-second"), (2, ""), (3, ""), (4, "nder-1")]
+
+
+def test_hash_embedding_has_the_default_dimension(spark, tmp_path):
+    folder = written(spark, tmp_path, ["a few words about the limit", "others"])
+    got = {r.doc_id: r.embedding for r in catalog.QUERIES["hash_embedding"](spark, folder).collect()}
+    text = spark.createDataFrame([("a few words about the limit",)], "text string")
+    want = text.select(V.hash_features(768)(T.feature_words(text.text)).alias("e")).first().e
+    assert {len(v) for v in got.values()} == {companions.Settings().dimension} == {768} and got[0] == want
