@@ -151,11 +151,14 @@ class Settings:
         return out
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A small report as a Markdown table; longer ones belong into files."""
-    rows = df.select([markdown_cell(F.col(c).cast("string")).alias(c) for c in df.columns]).limit(limit).collect()
+def markdown_table(df: DataFrame, limit: int | None = None) -> str:
+    """A report as a Markdown table of all rows; where a ``limit`` is given, a line below says how many it left out."""
+    cells = df.select([markdown_cell(F.col(c).cast("string")).alias(c) for c in df.columns])
+    rows = (cells if limit is None else cells.limit(limit)).collect()
     line = lambda xs: "| " + " | ".join(xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(["" if x is None else x for x in r]) for r in rows]]) + "\n"
+    table = "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(["" if x is None else x for x in r]) for r in rows]]) + "\n"
+    more = df.count() - len(rows) if limit is not None and len(rows) == limit else 0
+    return table + (f"\n{more} more rows are left out.\n" if more > 0 else "")
 
 
 def write_report(text: str, path: str) -> None:
