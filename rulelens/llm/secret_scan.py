@@ -8,7 +8,7 @@ backwards over the sorted parts of a text, so it takes time in proportion to the
 
 Defined results: null texts are empty and have no secrets; offsets are code points, ends exclusive; weak parts that overlap
 a base span are dropped and base spans always stay; repeated rows are each scanned; other columns are ignored or, when
-redacting, kept; no rows give no rows.
+redacting, kept, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -89,10 +89,12 @@ def _pass(parts: str, forwards: bool, reach: int) -> str:
     return out if forwards else f"reverse({out})"
 
 
-def scan(docs: DataFrame, reach: int = 400) -> DataFrame:
-    """``docs`` with ``found``: a struct of the spans of each kind; no shuffle."""
+def _scanned(docs: DataFrame, reach: int) -> DataFrame:
+    """(row, found): each row as a struct, so that no column of it can clash, and the spans of each kind; no shuffle."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("*", F.struct(*[spans(text, *v).alias(k) for k, v in BASE.items()]).alias("_base"))
+    base = docs.select(whole.alias("row"), text.alias("text"), F.struct(*[spans(text, *v).alias(k) for k, v in BASE.items()]).alias("_base"))
+    text = F.col("text")
     named = (F.size("_base.access") > 0) | text.rlike(NAME)
     armed = (F.size("_base.assign") > 0) | (F.size("_base.hex") > 0) | text.rlike(WEAK)
     parts = F.array_sort(
@@ -123,7 +125,13 @@ def scan(docs: DataFrame, reach: int = 400) -> DataFrame:
         reported(_WEAK, lambda n, s: n).alias("linked_secret"),
         reported(_END, lambda n, s: n & s).alias("linked_endpoint"),
     )
-    return linked.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("found"))
+    return linked.select("row", found.alias("found"))
+
+
+def scan(docs: DataFrame, reach: int = 400) -> DataFrame:
+    """``docs`` with ``found``, a struct of the spans of each kind; an input column of that name gives way."""
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "found"]
+    return _scanned(docs, reach).select(*kept, "found")
 
 
 def _listed(kinds: list[str]) -> Column:
@@ -145,9 +153,9 @@ def _listed(kinds: list[str]) -> Column:
 
 def report(docs: DataFrame, reach: int = 400) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans, and all spans."""
-    found = scan(docs.select("doc_id", "text"), reach)
+    found = _scanned(docs.select("doc_id", "text"), reach)
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *[F.size(f"found.{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_listed(list(BASE)).cast("binary"), 256).alias("base_sha256"),
         _listed(ORDER).alias("spans"),
@@ -156,12 +164,13 @@ def report(docs: DataFrame, reach: int = 400) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 400) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; texts without secrets, and nulls, stay as they are."""
-    found = scan(docs, reach)
+    found = _scanned(docs, reach)
+    text = F.col("row.text")
     every = F.array_sort(F.concat(*[F.col(f"found.{k}") for k in ORDER]))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
@@ -169,7 +178,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 400) -> DataFra
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate(
-        every, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"].cast("int") + 1, F.length("text")))
+        every, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text)))
     )
-    clean = F.when(F.size(every) > 0, whole).otherwise(F.col("text"))
-    return found.withColumn("text", clean).drop("found")
+    clean = F.when(F.size(every) > 0, whole).otherwise(text)
+    return found.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
