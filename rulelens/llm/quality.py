@@ -1,13 +1,13 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A text's features are its distinct word unigrams and bigrams, as written, between blanks, hashed to ``2**bits`` buckets,
-each of the same value, three divided by their number to the power 3/4. The
-model is fitted on at most ``max_train_rows`` labelled rows, those of the lowest hash of doc_id, in one task; every row is
-scored, as a sparse dot product with the weights, which are sent to the executors (at most ``2**bits`` doubles).
+each of the same value, three divided by their number to the power 3/4. The model is fitted on at most ``max_train_rows``
+labelled rows and ``MAX_TRAIN_BYTES`` of features, those of the lowest hash of doc_id, in one task; every row is scored, as a
+sparse dot product with the weights, which are sent to the executors (at most ``2**bits`` doubles).
 
 Defined results: null and wordless texts have only the bias, so they score as the training rows do on average; rows without
 a label are not learnt from; null doc_ids count as held out of learning and are scored; without any labelled row every
-score is 0.5; repeated rows are scored each; other columns are ignored.
+score is 0.5; repeated rows are scored each, and learnt from each, within the bounds; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ _TWICE = mix(np.array([11], np.uint64))
 BIAS = 0.3
 BITS = 18
 MAX_TRAIN_ROWS = 12_000
+#: Four bytes for each feature of each row that is learnt from.
+MAX_TRAIN_BYTES = 256 << 20
 
 
 def feature_runs(texts, bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -73,8 +75,11 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(train: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
-    """Weights of train(doc_id, text, label), float64, the bias last. Deterministic: rows go by the hash of their id."""
+def fit(train: DataFrame, bits: int = BITS, epochs: int = 4, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> np.ndarray:
+    """Weights of train(o, label, text), float64, the bias last. Deterministic: rows go by ``o``, features and label.
+
+    The one learning task keeps the first ``max_rows`` of that order, and of them as many as ``max_bytes`` of features hold.
+    """
     spark = train.sparkSession
     ship(spark)
     size = 1 << bits
@@ -85,10 +90,15 @@ def fit(train: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
             yield pd.DataFrame({"o": pdf["o"], "label": pdf["label"], "f": rows})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in batches for r in zip(pdf["o"], pdf["f"], pdf["label"], strict=True)]
+        rows, held = [], 0
+        for pdf in batches:
+            # what comes after the bounds is read to its end but not kept
+            for r in zip(pdf["o"], pdf["f"], pdf["label"], strict=True):
+                held += len(r[1])
+                if len(rows) < max_rows and held <= max_bytes:
+                    rows.append(r)
         if not rows:
             return
-        rows.sort()
         model = Ftrl(size)
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(rows)):
@@ -99,7 +109,8 @@ def fit(train: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
 
     found = (
         train.mapInPandas(featurise, "o long, label int, f binary")
-        .repartition(1)  # the bounded sample alone moves into one task; coalescing would pull the scan into it
+        .repartition(1)  # the sample alone moves into one task, sorted on disk; coalescing would pull the scan into it
+        .sortWithinPartitions("o", "f", "label")
         .mapInPandas(learn, "i long, w double")
         .toPandas()
     )
@@ -109,7 +120,10 @@ def fit(train: DataFrame, bits: int = BITS, epochs: int = 4) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learnable, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(o, label, text) of the bounded sample: labelled rows that ``learnable`` admits, of the lowest id hashes."""
+    """(o, label, text) of labelled rows that ``learnable`` admits, of the ``max_train_rows`` lowest id hashes.
+
+    An id may have several rows, so ``fit`` bounds the rows again.
+    """
     ids = (
         labels.where("quality in (0, 1) and doc_id is not null")
         .where(learnable)
@@ -145,7 +159,7 @@ HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; held-out rows teach nothing."""
-    weights = fit(training_rows(docs, labels, f"not ({HELD_OUT})", max_train_rows))
+    weights = fit(training_rows(docs, labels, f"not ({HELD_OUT})", max_train_rows), max_rows=max_train_rows)
     return docs.select(
         "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(True)).alias("held_out"), score(docs, weights).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -153,5 +167,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_tra
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
-    weights = fit(training_rows(docs, labels, f"not ({HELD_OUT})", max_train_rows))
+    weights = fit(training_rows(docs, labels, f"not ({HELD_OUT})", max_train_rows), max_rows=max_train_rows)
     return docs.where(score(docs, weights) >= threshold)
