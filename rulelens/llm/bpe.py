@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -146,66 +147,71 @@ class Codec:
         self.inner = [vocab.get(c, -1) for c in letters]
         self.final = [vocab.get(c + self.suffix, -1) for c in letters]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        #: What each id stands for; null for ids that stand for nothing.
+        self.names = [names.get(i) for i in range(max(names, default=-1) + 1)]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.narrow, self.wide = piece_pattern(0xFFFF).findall, piece_pattern(0x10FFFF).findall
         self.blank = re.compile(f"[{_SPACE}]+")
         self.chunks, self.pieces = Memory(_CHUNKS), Memory(_PIECES)
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and their decoding with a blank before each."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         if (out := self.pieces.get(piece)) is not None:
             return out
         data = piece.encode("utf-8", "surrogatepass")
         symbols = [self.inner[b] for b in data[:-1]]
         symbols.append(self.final[data[-1]])
-        ids = merge([s for s in symbols if s >= 0], self.ranks)
-        out = (_little(array("I", ids)), "".join([f" {self.names[i]}" for i in ids]))
+        out = _little(array("I", merge([s for s in symbols if s >= 0], self.ranks)))
         if len(piece) <= _LONGEST:
             self.pieces.put(piece, out)
         return out
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> bytes:
         folded = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         folded = folded.lower()
         pieces = self.narrow(folded) if folded.isascii() or max(folded) <= "\uffff" else self.wide(folded)
         parts = [self._piece(p) for p in pieces]
-        out = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]))
+        out = parts[0] if len(parts) == 1 else b"".join(parts)
         if len(chunk) <= _LONGEST:
             self.chunks.put(chunk, out)
         return out
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         # str.split() also cuts at U+001C to U+001F, which the vocabulary's pattern takes as symbols
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         chunks = [c for c in self.blank.split(text) if c] if odd else text.split()
         get, make = self.chunks.get, self._chunk
-        return [get(c) or make(c) for c in chunks]
+        found = map(get, chunks)
+        return [make(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, the decoded text)."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return b"", ""
-        parts: list[tuple[bytes, str]] = []
-        if self.cut is not None and any(s in text for s in self.special):
-            at = 0
-            for m in self.cut.finditer(text):
-                parts += self._plain(text[at : m.start()])
-                parts.append((_little(array("I", [self.special[m[0]]])), f" {m[0]}"))
-                at = m.end()
-            parts += self._plain(text[at:])
-        else:
-            parts = self._plain(text)
-        return b"".join([p[0] for p in parts]), "".join([p[1] for p in parts])[1:]
-
-    def decode(self, ids) -> str:
-        """The vocabulary file names no decoder, so tokens are joined by blanks."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+            return b""
+        if self.cut is None or not any(s in text for s in self.special):
+            return b"".join(self._plain(text))
+        parts: list[bytes] = []
+        at = 0
+        for m in self.cut.finditer(text):
+            parts += self._plain(text[at : m.start()])
+            parts.append(_little(array("I", [self.special[m[0]]])))
+            at = m.end()
+        return b"".join(parts + self._plain(text[at:]))
+
+    def decode(self, ids: bytes) -> str:
+        """The text of little-endian ids; the vocabulary file names no decoder, so tokens are joined by blanks."""
+        numbers = array("I", ids)
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        names, size = self.names, len(self.names)
+        if numbers and max(numbers) >= size:
+            numbers = [i for i in numbers if i < size]
+        found = [names[i] for i in numbers]
+        return " ".join([t for t in found if t is not None] if None in found else found)
 
 
 def _little(ids: array) -> bytes:
-    import sys
-
     if sys.byteorder == "big":
         ids = array("I", ids)
         ids.byteswap()
@@ -233,8 +239,9 @@ def tokenize(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids, decoded = own.encode(text)
-                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+                ids = own.encode(text)
+                decoded = own.decode(ids).encode("utf-8", "surrogatepass")
+                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
                 out.append((*row, ids) if keep_ids else row)
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
@@ -249,6 +256,6 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def back(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(path)
         for ids in parts:
-            yield ids.map(lambda b: own.decode(array("I", bytes(b or b""))))
+            yield ids.map(lambda b: own.decode(bytes(b or b"")))
 
     return encoded.select("doc_id", back("ids").alias("text"))

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat_format, decontamination, embedding_dedup, license_scan, minhash_dedup, pii, quality, secret_scan, warc
 
-VOCABULARY_FOLDER = "/opt/tokenizers"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str = "word_bpe_49k.json", folder: str = VOCABULARY_FOLDER) -> str:
-    """The place of a public vocabulary file; the folder is a parameter and nothing is copied from it."""
-    return f"{folder}/{name}"
+def vocabulary(name: str = "word_bpe_49k.json", folder: str | None = None) -> str:
+    """The place of a public vocabulary file, in ``folder`` or where the files are installed; nothing is copied from it."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def near_duplicate_scheme() -> minhash_dedup.Scheme:
