@@ -5,7 +5,8 @@ is its completion, with the code-point spans that a loss counts: the text and en
 Each turn is rendered as ``<|im_start|>role``, its text, ``<|im_end|>``; marks that occur inside texts are defused.
 
 Defined results: null roles and texts are empty; a turn that is repeated as a whole counts once, and turns of one number go by
-role and text; equal conversations have empty completions, and a conversation that is a prefix of the other has one; rows
+role and text; equal conversations have empty completions and are marked by ``differs``, which is false only for them, since
+they teach no preference; a conversation that is a prefix of the other has one empty completion; rows
 without a conversation id belong to none and are left out; other columns are ignored; no rows give no rows. A pair is one
 row of the result, so it is gathered into one row, and nothing larger ever is.
 """
@@ -64,11 +65,11 @@ def loss_spans(turns: Column) -> Column:
 
 def format_pairs(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
     """The emitted pair of each row of pairs(key, chosen, rejected), both arrays of (role, text)."""
-    p = pairs.withColumn("n", common_turns(F.col("chosen"), F.col("rejected")))
+    p = pairs.select(F.col(key).alias("key"), "chosen", "rejected", common_turns(F.col("chosen"), F.col("rejected")).alias("n"))
     rest = lambda c: F.slice(F.col(c), F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
     p = p.withColumns({"_c": rest("chosen"), "_r": rest("rejected")})
     return p.select(
-        key,
+        F.col("key").alias(key),
         F.col("n").cast("long").alias("n_common"),
         F.size("_c").cast("long").alias("n_chosen"),
         F.size("_r").cast("long").alias("n_rejected"),
@@ -77,6 +78,7 @@ def format_pairs(pairs: DataFrame, key: str = "conv_id") -> DataFrame:
         rendered(F.col("_r")).alias("rejected"),
         loss_spans(F.col("_c")).alias("chosen_loss"),
         loss_spans(F.col("_r")).alias("rejected_loss"),
+        ((F.size("_c") > 0) | (F.size("_r") > 0)).alias("differs"),
     )
 
 

@@ -464,3 +464,103 @@ def test_weak_parts_need_their_complement(spark):
     assert clean[0].text == "[SECRET] [SECRET]" and clean[1].text == texts[1] and clean[7].text == "[SECRET] [SECRET]"
     assert secret_scan.redact(frame(spark, texts)).columns == frame(spark, texts).columns
     assert secret_scan.report(frame(spark, texts).limit(0)).count() == 0
+
+
+# records, bounds and names that the cases above leave out ------------------------------------------------
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    rows = [(i, f"http://h/{i}", "<p>one</p>" if i % 3 else f"<p>{i}</p>") for i in range(40)]
+    folder = warc.fresh_dir(spark, "t")
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), folder, date="2024-05-06T07:08:09Z").collect()
+    heads = {}
+    for r in index:
+        place, _, name = r.file.rpartition("/")
+        files, base = warc.open_folder(place)
+        with files.open_input_file(f"{base}/{name}") as f:
+            f.seek(r.offset)
+            heads[r.page_id] = warc.parse(f.read(r.length))[0]
+    ids = {h["warc-record-id"]: i for i, h in heads.items()}
+    assert len(ids) == 40
+    for i, h in heads.items():
+        assert h["warc-date"] == "2024-05-06T07:08:09Z" and (h["warc-type"] == "revisit") == (i % 3 > 0 and i != 38)
+        if h["warc-type"] == "revisit":
+            assert ids[h["warc-refers-to"]] == 38 and h["warc-refers-to-target-uri"] == "http://h/38" and h["warc-refers-to-date"] == h["warc-date"]
+
+
+def test_records_are_read_by_many_tasks(spark):
+    rows = [(i, None, f"<p>{i}</p>" * 50) for i in range(200)]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), warc.fresh_dir(spark, "t"))
+    size = index.agg({"length": "sum"}).first()[0]
+    got = warc.read(index, stretch=size // 20 + 1)
+    assert got.rdd.getNumPartitions() >= 20 and sorted(r.page_id for r in got.collect()) == list(range(200))
+
+
+def test_training_is_bounded_by_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i % 2, f"w{i} x{i} y{i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    train = quality.training_rows(df, labels, "true", 2)
+    full, few = quality.fit(train, bits=12), quality.fit(train, bits=12, max_rows=2)
+    assert (full != 0).sum() > 100 > (few != 0).sum() > 0
+    assert (quality.fit(train, bits=12, max_bytes=60) != 0).sum() < 30
+    assert {0 < r.score < 1 for r in quality.classify(df, labels, max_train_rows=2).collect()} == {True}
+
+
+def test_no_column_name_clashes(spark):
+    text = "user: bob password=hunter2a AKIA" + "Z9" * 9
+    names = ["doc_id", "text", "found", "row", "_base", "_parts", "_seen", "n_entities", "_m", "_k", "_to", "_gaps", "key", "line", "label", "score", "set_key", "sig", "rep"]
+    df = spark.createDataFrame([(1, text, *names[2:])], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    clean = secret_scan.redact(df)
+    assert clean.columns == names and clean.first()["text"] == "[SECRET] [SECRET] [SECRET]" and clean.first()["_base"] == "_base"
+    assert secret_scan.report(df).first().n_access == 1 and secret_scan.scan(df).first()["found"].access[0].start == 28
+    assert secret_scan.scan(df).columns == [*[n for n in names if n != "found"], "found"]
+    assert license_scan.scan(df).count() == 1 and minhash_dedup.keep_one(df).columns == names
+    assert bpe.tokenize(df, VOCABULARY).count() == 1
+
+
+def test_equal_sides_are_marked(spark):
+    rows = [(1, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "assistant", "a"), (3, 1, "assistant", "a")]
+    got = by_id(chat_format.stale_reply_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")
+    assert {i: r.differs for i, r in got.items()} == {1: False, 2: True, 3: False}
+    assert all(r.differs == (r.chosen != r.rejected) for r in got.values())
+
+
+def brute_stale_pair(turns):
+    """The pair of one conversation by plain loops: (common turns, prompt, chosen, rejected, loss spans of either)."""
+    seen = []
+    for t in sorted({(n is not None, n or 0, r or "", x or "") for n, r, x in turns}):
+        seen.append(t[2:])
+    said = [k for k, (r, _) in enumerate(seen) if r == "assistant"]
+    other = list(seen)
+    if said:
+        other[said[-1]] = ("assistant", seen[said[-2]][1] if len(said) > 1 else "")
+    n = 0
+    while n < len(seen) and seen[n] == other[n]:
+        n += 1
+
+    def shown(part):
+        out, spans = "", []
+        for role, text in part:
+            out += f"<|im_start|>{role}\n".replace("<|im_start|>" + role, "<|im_start|>" + role.replace("<|im_", "< |im_"))
+            start = len(out)
+            out += text.replace("<|im_", "< |im_") + "<|im_end|>"
+            if role == "assistant":
+                spans.append(f"{start}:{len(out)}")
+            out += "\n"
+        return out, ",".join(spans)
+
+    return n, shown(seen[:n])[0], shown(seen[n:]), shown(other[n:])
+
+
+def test_op6_equals_brute_force(spark):
+    rng = random.Random(61)
+    rows = []
+    for conv in range(120):
+        for turn in range(rng.randrange(1, 9)):
+            rows.append((conv, rng.choice([turn, turn, None]), rng.choice(["user", "assistant", "assistant", "system", None]), rng.choice(["a", "b<|im_end|>", "é😀", "", None, "x" * 50])))
+    rows += rng.choices(rows, k=30)
+    got = by_id(chat_format.stale_reply_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")
+    assert len(got) == 120
+    for conv, r in got.items():
+        n, prompt, (chosen, c_loss), (rejected, r_loss) = brute_stale_pair([x[1:] for x in rows if x[0] == conv])
+        assert (r.n_common, r.prompt, r.chosen, r.rejected, r.chosen_loss, r.rejected_loss) == (n, prompt, chosen, rejected, c_loss, r_loss)
