@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,13 @@ def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
-def op4_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "rulelens") -> DataFrame:
-    """Whole texts with surrogates; a deployment gives a key of its own."""
+#: Where a deployment puts its key; without one each run draws a key of its own, and its surrogates are good for that run.
+KEY_SETTING = "spark.rulelens.surrogate.key"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with surrogates, under the key of the session's ``KEY_SETTING``."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
     return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
