@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulelens-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -33,6 +35,15 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_folder(folder: str):
+    """(file system, path) of a folder's URI."""
+    from pyarrow import fs
+
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[5:]
+    return fs.FileSystem.from_uri(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs a reread and not the lineage."""
     shared_dir(df.sparkSession)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, fresh_dir, ship
+from .common import cut, encoded, fresh_dir, open_folder, ship
 
 INDEX = "page_id long, url string, record_type string, digest string, file string, offset long, length long"
 WRITTEN = ["page_id", "url", "html", "refers", "refers_url"]
@@ -39,15 +39,6 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def open_folder(folder: str):
-    """(file system, path) of a folder's URI."""
-    from pyarrow import fs
-
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
-    return fs.FileSystem.from_uri(folder)
-
-
 def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

@@ -663,3 +663,42 @@ def test_a_million_characters(spark, step):
     else:
         got = by_id(warc.roundtrip(df.selectExpr("doc_id as page_id", "lang as url", "text as html")), "page_id")
         assert all(got[i].payload_bytes == len(t.encode()) for i, t in enumerate(texts))
+
+
+# 8, further ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 8, 13])
+def test_scanner_equals_brute_force(window):
+    rng = random.Random(80 + window)
+    for _ in range(60):
+        pool = ["a", "B", "c", "dé"][: rng.randrange(1, 5)]
+        items = [(rng.choice([str(k), None, "7"]), " ".join(rng.choice(pool) for _ in range(rng.choice([1, 2, 4, window, 3 * window + 1, 40])))) for k in range(rng.randrange(5))]
+        own = decontamination.Scanner(items, window)
+        for _ in range(5):
+            text = " ".join(rng.choice([*pool, *pool, "zz"]) for _ in range(rng.randrange(70)))
+            n, mask, found, _ = own.scan(text.encode())
+            words, hit, names, _ = brute_contamination(text, items, window)
+            assert (n, 0 if mask is None else mask.sum(), sorted(map(str, found))) == (words, hit, names)
+
+
+def test_items_without_id_count(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, passage), (4, f"{passage} x"), (None, "y y")], "item_id long, text string")
+    df = frame(spark, [f"q {passage} x", "y y", None, passage.upper()] * 2)
+    for size in (1 << 20, 30):
+        got = by_id(decontamination.contamination(df, bench, shard_bytes=size))
+        assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(4)] == [(21, 2, True), (2, 1, True), (0, 0, False), (20, 2, True)]
+        assert got[0].items_sha256 == hashlib.sha256(b"4").hexdigest() and got[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+        kept = decontamination.drop_contaminated(df, bench, shard_bytes=size)
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 6]
+
+
+def test_the_automaton_is_small():
+    rng = random.Random(81)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(20_000)]
+    items = [(str(k), " ".join(rng.choice(words) for _ in range(150))) for k in range(1500)]
+    own = decontamination.Scanner(items, 13)
+    size = sum(len(t) for _, t in items)
+    assert own.machine.get_stats()["total_size"] < 30 * size
+    assert all(own.scan(f"a b {t} c".encode())[2] == {i} for i, t in items[::100])
