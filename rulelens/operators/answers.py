@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intents import next_step_key
+from ..functions.intents import NUMERIC_QUESTION, lookup_ids, next_step_key
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import NUMBER, SECTION_REF, extract_all, term_set
+from ..functions.text import NUMBER, SECTION_REF, extract_all, term_set, words
 
 CITED = "chunk_id document_id document_name document_version source_kind section_id section_title clause_id locator_kind source_locator page line_start line_end start_offset end_offset text".split()
 SAFE_KEYS = "qid decision rule reason best_score n_retrieved n_cited version elapsed_ms".split()
@@ -28,31 +28,68 @@ def unretrieved(selected: DataFrame, retrieved: DataFrame) -> DataFrame:
     return selected.join(retrieved.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
 
 
+#: What a chunk gains for an aspect beside its overlap (fixed values): a section already chosen, being new, a numeric passage for a numeric aspect.
+SAME_SECTION, UNSEEN, NUMERIC_FIT = 0.30, 0.04, 0.28
+#: Exceptions and references bring in direct chunks of this score or more (a fixed value).
+CARRIED = 0.58
+
+
+def _overlap(wanted: set, subject: set, held: set) -> float:
+    """The share of an aspect's terms that a chunk has, those that are no question words counting 0.7."""
+    whole = len(wanted & held) / max(1, len(wanted))
+    return 0.70 * len(subject & held) / len(subject) + 0.30 * whole if subject else whole
+
+
+def _chosen(rows: list[dict], aspects: list[dict], lookups: set, exception: bool) -> list[int]:
+    """The rows, in retrieval order, that an answer cites."""
+    asked = [i for i, r in enumerate(rows) if r["clause_id"] in lookups]
+    if asked:
+        return sorted(asked, key=lambda i: rows[i]["source_order"])
+    picks: dict[int, None] = {}
+    best = lambda key: max(range(len(rows)), key=key)
+    for aspect in aspects:
+        sections = {rows[i]["section_id"] for i in picks}
+        fit = [_overlap(aspect["wide"], aspect["subject"], r["doc_terms"]) for r in rows]
+        gain = [f + SAME_SECTION * (r["section_id"] in sections) + UNSEEN * (i not in picks) + NUMERIC_FIT * (aspect["numeric"] and r["numeric"]) for i, (f, r) in enumerate(zip(fit, rows, strict=True))]
+        i = best(lambda i: (gain[i], rows[i]["score"], rows[i]["ranking_score"]))
+        if fit[i] > 0:
+            picks[i] = None
+    if not aspects:
+        picks[best(lambda i: (rows[i]["score"], rows[i]["ranking_score"]))] = None
+    strong = [i for i, r in enumerate(rows) if r["score"] >= CARRIED]
+    if exception:
+        sections = {rows[i]["section_id"] for i in picks}
+        picks |= dict.fromkeys(i for i in strong if rows[i]["section_id"] in sections)
+    named = {ref for i in picks for ref in rows[i]["cross_references"]}
+    picks |= dict.fromkeys(i for i in strong if rows[i]["clause_id"] in named or rows[i]["section_id"] in named)
+    return list(picks or {best(lambda i: rows[i]["score"]): None})[:LIMIT]
+
+
 def sources_by_aspect(direct: DataFrame, parts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(qid, chunk_id, pick): for each aspect in turn the chunk of most overlap, then more direct ones to six.
+    """(qid, chunk_id, pick) of the chunks that an answer cites.
 
-    ``direct`` are (qid, chunk_id, section_id, score, doc_terms), ``parts`` (qid, aspects). A pick's section counts for later
-    ones, so the choice is sequential and runs grouped; a group is the dozen direct chunks of one question.
+    A clause that is merely looked up is the answer; else each aspect in turn picks the chunk of most value, exceptions bring
+    in the chosen sections, and references of the chosen what they name, up to six. ``direct`` are (qid, chunk_id, clause_id,
+    section_id, cross_references, source_order, pos, score, ranking_score, doc_terms, numeric), ``parts`` (qid, question,
+    aspects). A pick counts for later ones, so the choice is sequential and runs grouped; a group is the dozen direct chunks
+    of one question.
     """
-    rows = direct.join(parts.select("qid", F.transform("aspects", lambda a: term_set(a, True, lexicon)).alias("terms")), "qid", "left")
+    told = F.transform(
+        "aspects",
+        lambda a: F.struct(term_set(a, True, lexicon).alias("wide"), F.array_except(term_set(a, True, lexicon), words(lexicon.intent)).alias("subject"), a.rlike(NUMERIC_QUESTION).alias("numeric")),
+    )
+    asked = parts.select("qid", told.alias("told"), lookup_ids(F.col("question")).alias("lookups"), F.contains(F.lower("question"), F.lit("exception")).alias("exception"))
+    rows = direct.join(asked, "qid", "left")
     kind = direct.schema["qid"].dataType.simpleString()
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "chunk_id"], ascending=[False, True])
-        terms = pdf["terms"].iloc[0]
-        chosen: list[int] = []
-        for t in terms if terms is not None else ():
-            want = set(t)
-            taken = {pdf["section_id"].iat[i] for i in chosen}
-            value = [
-                len(want & set(pdf["doc_terms"].iat[i])) / max(1, len(want)) + 0.2 * pdf["score"].iat[i] + 0.05 * (pdf["section_id"].iat[i] in taken)
-                for i in range(len(pdf))
-            ]
-            best = max(range(len(pdf)), key=lambda i: (value[i], -i))
-            if best not in chosen:
-                chosen.append(best)
-        chosen = (chosen or [0])[:LIMIT]
-        return pd.DataFrame({"qid": pdf["qid"].iloc[0], "chunk_id": [pdf["chunk_id"].iat[i] for i in chosen], "pick": range(1, len(chosen) + 1)})
+        pdf = pdf.sort_values("pos")
+        held = lambda x: set() if x is None else set(x)
+        rows = [{**r, "doc_terms": held(r["doc_terms"]), "cross_references": held(r["cross_references"])} for r in pdf.to_dict("records")]
+        one = rows[0]
+        aspects = [{"wide": set(a["wide"]), "subject": set(a["subject"]), "numeric": a["numeric"]} for a in (one["told"] if one["told"] is not None else ())]
+        chosen = _chosen(rows, aspects, held(one["lookups"]), bool(one["exception"]))
+        return pd.DataFrame({"qid": one["qid"], "chunk_id": [rows[i]["chunk_id"] for i in chosen], "pick": range(1, len(chosen) + 1)})
 
     return rows.groupBy("qid").applyInPandas(pick, f"qid {kind}, chunk_id string, pick int")
 

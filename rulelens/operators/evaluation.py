@@ -42,25 +42,46 @@ def folded(text: Column) -> Column:
     return _folded(one)(text)
 
 
+def folded_each(texts: Column) -> Column:
+    """``folded`` of every text of an array."""
+    import re
+    import unicodedata
+
+    import pandas as pd
+
+    def run(parts):
+        for rows in parts:
+            yield rows.map(lambda ts: None if ts is None else [None if t is None else " ".join(re.sub("[‐‑‒–—−]", "-", unicodedata.normalize("NFKC", t).casefold()).split()) for t in ts])
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, EMPTY)(texts)
+
+
 def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     """One row a case with its ten checks, ``overall_pass`` and ordered ``failure_types``.
 
     ``cases`` have the expected lists; ``results`` (id, decision, answer, next_step, trace_decision, retrieved, cited, excerpts,
-    elapsed_ms), retrieved and cited being arrays of clause ids, excerpts of the cited texts as retrieved. A case without a
-    result is an ERROR.
+    elapsed_ms[, retrieved_locators, cited_locators]), retrieved and cited being arrays of clause ids, excerpts of the cited
+    texts as retrieved, locators those of the same chunks. Texts are compared with compatibility forms and case folded. A case
+    without a result is an ERROR.
     """
     r = cases.join(results, "id", "left")
     none = F.array().cast(EMPTY)
+    for c in ("expected_source_locators", "expected_evidence_source_locators", "retrieved_locators", "cited_locators"):
+        if c not in r.columns:
+            r = r.withColumn(c, none)
     arr = lambda c: F.coalesce(F.col(c), none)
     distinct = lambda c: F.array_distinct(arr(c))
-    answer = F.coalesce(plain(F.col("answer")), F.lit(""))
-    lacks = lambda c: F.filter(distinct(c), lambda x: ~F.contains(answer, plain(x)))
-    has = lambda c: F.filter(distinct(c), lambda x: F.contains(answer, plain(x)))
+    r = r.withColumns({"_answer": F.coalesce(folded(F.col("answer")), F.lit("")), **{f"_{c}": folded_each(distinct(c)) for c in ("expected_facts", "forbidden_claims", "excerpts")}})
+    answer = F.col("_answer")
+    # texts beside their folded forms, those that the answer holds or lacks
+    split = lambda c, held: F.transform(F.filter(F.arrays_zip(distinct(c).alias("t"), F.col(f"_{c}").alias("f")), lambda x: F.contains(answer, x["f"]) == held), lambda x: x["t"])
+    lacks, has = lambda c: split(c, F.lit(False)), lambda c: split(c, F.lit(True))
     refused = F.col("decision") == "REFUSE"
     source = F.array_join(arr("excerpts"), " ")
     bare = lambda c: F.transform(extract_all(F.regexp_replace(c, SECTION_REF, ""), NUMBER), lambda x: F.replace(x, F.lit(","), F.lit("")))
     refs = lambda c: extract_all(c, SECTION_REF, 1)
-    quoted = F.forall(arr("excerpts"), lambda x: F.contains(answer, plain(x)))
+    quoted = F.forall(F.col("_excerpts"), lambda x: F.contains(answer, x))
     grounded = refused | (
         (F.size(arr("cited")) > 0)
         & quoted
@@ -75,6 +96,8 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
             "actual_decision": F.coalesce("decision", F.lit("ERROR")),
             "missing_evidence": F.array_except(distinct("expected_evidence_clause_ids"), arr("retrieved")),
             "missing_citations": F.array_except(distinct("expected_clause_ids"), arr("cited")),
+            "missing_evidence_locators": F.array_except(distinct("expected_evidence_source_locators"), arr("retrieved_locators")),
+            "missing_citation_locators": F.array_except(distinct("expected_source_locators"), arr("cited_locators")),
             "missing_facts": lacks("expected_facts"),
             "forbidden_found": has("forbidden_claims"),
         }
@@ -83,8 +106,8 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     values = {
         "trace": F.col("trace_decision") == F.col("decision"),
         "decision": F.col("decision") == F.col("expected_decision"),
-        "retrieval": F.size("missing_evidence") == 0,
-        "citation_recall": F.size("missing_citations") == 0,
+        "retrieval": (F.size("missing_evidence") == 0) & (F.size("missing_evidence_locators") == 0),
+        "citation_recall": (F.size("missing_citations") == 0) & (F.size("missing_citation_locators") == 0),
         "citation_integrity": intact,
         "facts": F.size("missing_facts") == 0,
         "forbidden_claims": forbidden_ok,
@@ -97,7 +120,13 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     passed = F.lit(True)
     for c in CHECKS:
         passed = passed & F.col(f"checks.{c}")
-    return r.withColumn("overall_pass", passed).withColumn("failure_types", failure_types())
+    return r.withColumn("overall_pass", passed).withColumn("failure_types", failure_types()).drop("_answer", "_expected_facts", "_forbidden_claims", "_excerpts")
+
+
+def audit_rows(scored: DataFrame) -> DataFrame:
+    """What an audit of many candidates keeps of a scored case."""
+    kept = "id expected_decision actual_decision overall_pass checks missing_evidence missing_citations missing_evidence_locators missing_citation_locators missing_facts forbidden_found failure_types"
+    return scored.select(*kept.split())
 
 
 def failure_types() -> Column:
@@ -255,18 +284,15 @@ def select_candidate(candidates: DataFrame, base_refusal: float = 0.58, base_cov
 
 
 def guarded(positives: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(case_id, chunk_id) that are no safe negatives: a positive's section, neighbours, and references either way."""
+    """(case_id, chunk_id) that are no safe negatives: a positive's section, neighbours, and clauses that it names or that name it."""
     c = chunks.select("chunk_id", "section_id", "clause_id", "source_order", "cross_references")
     p = positives.join(c, "chunk_id")
     o = c.select(F.col("chunk_id").alias("other"), F.col("section_id").alias("o_section"), F.col("clause_id").alias("o_clause"), F.col("source_order").alias("o_order"), F.col("cross_references").alias("o_refs"))
     same = p.join(o, p.section_id == o.o_section)
     near = p.withColumn("at", F.explode(F.array(F.col("source_order") - 1, "source_order", F.col("source_order") + 1))).join(o, F.col("at") == F.col("o_order"))
-    forth = p.withColumn("r", F.explode("cross_references")).join(o, (F.col("r") == F.col("o_clause")))
-    forth_s = p.withColumn("r", F.explode("cross_references")).join(o, (F.col("r") == F.col("o_section")))
-    refs = o.withColumn("r", F.explode("o_refs"))
-    back = p.join(refs, F.col("r") == p.clause_id)
-    back_s = p.join(refs, F.col("r") == p.section_id)
-    parts = [x.select("case_id", F.col("other").alias("chunk_id")) for x in (same, near, forth, forth_s, back, back_s)]
+    forth = p.withColumn("r", F.explode("cross_references")).join(o, F.col("r") == F.col("o_clause"))
+    back = p.join(o.withColumn("r", F.explode("o_refs")), F.col("r") == p.clause_id)
+    parts = [x.select("case_id", F.col("other").alias("chunk_id")) for x in (same, near, forth, back)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -280,6 +306,12 @@ def hard_negatives(ranked: DataFrame, positives: DataFrame, chunks: DataFrame, k
     return free.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
 
 
+def short_of_negatives(negatives: DataFrame, cases: DataFrame, k: int = 4) -> DataFrame:
+    """(case_id, n) of cases(case_id) that have fewer than ``k`` negatives; training must not go on with any."""
+    n = negatives.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    return cases.select("case_id").distinct().join(n, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+
+
 def reciprocal_ranks(*rankings: DataFrame, k: int = 60) -> DataFrame:
     """Unweighted fusion of ranked(case_id, chunk_id, rank) tables."""
     all_ = rankings[0]
@@ -309,13 +341,58 @@ def folds(cases: DataFrame, seed: int = 42, n: int = 2) -> DataFrame:
     return cases.withColumn("fold", F.pmod(F.xxhash64("case_id", F.lit(seed)), F.lit(n)).cast("int"))
 
 
+def disjoint_folds(cases: DataFrame, seed: int = 42, n: int = 2) -> DataFrame:
+    """cases(case_id, expected_evidence_clause_ids) with a stable fold, cases that share a gold clause in one fold.
+
+    Cases that hang together by clauses take the least case id among them, which spreads by one clause a round; cases are
+    reviewed by people, so rounds are few and the table small.
+    """
+    gold = cases.select("case_id", F.explode("expected_evidence_clause_ids").alias("clause"))
+    names = cases.select("case_id", F.col("case_id").alias("lead"))
+    before = None
+    while True:
+        by = names.join(gold, "case_id").groupBy("clause").agg(F.min("lead").alias("low"))
+        low = gold.join(by, "clause").groupBy("case_id").agg(F.min("low").alias("low"))
+        names = names.join(low, "case_id", "left").select("case_id", F.least("lead", F.coalesce("low", "lead")).alias("lead")).checkpoint()
+        after = names.agg(F.sum(F.xxhash64("case_id", "lead").cast("decimal(38,0)"))).first()[0]
+        if after == before:
+            break
+        before = after
+    fold = F.pmod(F.xxhash64("lead", F.lit(seed)), F.lit(n)).cast("int")
+    return cases.join(names.select("case_id", fold.alias("fold")), "case_id")
+
+
 def fold_overlap(train: DataFrame, held_out: DataFrame) -> DataFrame:
-    """Cases on both sides; any row is a leak."""
-    return train.select("case_id").intersect(held_out.select("case_id"))
+    """Cases on both sides and gold clauses of both; any row is a leak."""
+    both = train.select("case_id").intersect(held_out.select("case_id")).select(F.lit("case").alias("kind"), F.col("case_id").cast("string").alias("id"))
+    gold = "expected_evidence_clause_ids"
+    if gold not in train.columns:
+        return both
+    side = lambda df: df.select(F.explode(gold).alias("id"))
+    return both.unionByName(side(train).intersect(side(held_out)).select(F.lit("clause").alias("kind"), "id"))
+
+
+def release_assessment(metrics: DataFrame, suites: DataFrame) -> DataFrame:
+    """One row of decision, reasons and gains, of metrics(side, metric, value) and suites(suite, failures).
+
+    A candidate is good for blind validation if recall at 6 rose, the pairwise AUC did not fall, and the strict suites were run
+    without a failure; nothing is ever promoted by itself. ``side`` is baseline or candidate; a candidate's values over seeds
+    and folds are averaged.
+    """
+    by = metrics.groupBy("metric").agg(F.avg(F.when(F.col("side") == "candidate", F.col("value"))).alias("c"), F.avg(F.when(F.col("side") == "baseline", F.col("value"))).alias("b"))
+    gains = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round(F.col("c") - F.col("b"), 6).alias("gain"))))).alias("gains"))
+    run = suites.agg(F.count(F.lit(1)).alias("suites"), F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"))
+    more, auc = F.coalesce(F.element_at("gains", F.lit("recall_at_6")) > 0, F.lit(False)), F.coalesce(F.element_at("gains", F.lit("roc_auc")) >= 0, F.lit(False))
+    safe = (F.col("suites") > 0) & (F.col("failures") == 0)
+    reasons = [(~more, "recall at 6 did not improve"), (~auc, "the pairwise AUC fell"), (F.col("suites") == 0, "no strict suite was run"), (F.col("failures") > 0, "a strict case failed")]
+    # both sides are one row
+    return gains.join(run).select(
+        F.when(more & auc & safe, "ELIGIBLE_FOR_BLIND_VALIDATION").otherwise("KEEP_PRETRAINED_BASELINE").alias("decision"), F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in reasons])).alias("reasons"), "gains"
+    )
 
 
 def release(baseline: DataFrame, candidate: DataFrame, metric: str = "ndcg", cutoff: int = 10, least: float = 0.0) -> DataFrame:
-    """Whether a trained candidate replaces the baseline, from two tables of ranking metrics."""
+    """Whether one ranking beats another, from two tables of ranking metrics; ``release_assessment`` decides on releases."""
     b = baseline.where(F.col("cutoff") == cutoff).select(F.col(metric).alias("b"), F.col("mrr").alias("bm"))
     c = candidate.where(F.col("cutoff") == cutoff).select(F.col(metric).alias("c"), F.col("mrr").alias("cm"))
     gain = b.join(c).withColumn("delta", F.round(F.col("c") - F.col("b"), 6)).withColumn("mrr_delta", F.round(F.col("cm") - F.col("bm"), 6))

@@ -23,6 +23,14 @@ def duplicate_texts(chunks: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_members(chunks: DataFrame) -> DataFrame:
+    """G6 as rows: (chunk_id, representative, n) of every chunk that shares its normalised text, so that no group is one value."""
+    digest = F.sha2(F.col("normalized_text").cast("binary"), 256)
+    keyed = chunks.select("chunk_id", digest.alias("digest"))
+    groups = keyed.groupBy("digest").agg(F.min("chunk_id").alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(groups, "digest").select("chunk_id", "representative", "n")
+
+
 def duplicate_locators(chunks: DataFrame) -> DataFrame:
     """G8."""
     return chunks.groupBy("source_locator").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

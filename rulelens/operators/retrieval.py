@@ -118,14 +118,14 @@ def dense_candidates(questions: DataFrame, chunks: DataFrame, k: int, places: in
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Outer-joined candidates with ``rrf`` and ``fused`` before any boost."""
+    """Outer-joined candidates with ``rrf`` and ``fused_score`` before any boost; whoever uses the score rounds it, once."""
     both = dense.join(lexical, ["qid", "chunk_id"], "full")
     one = lambda c: F.coalesce(1 / (F.lit(float(config.rrf)) + F.col(c)), F.lit(0.0))
     rrf = (one("vector_rank") + one("lexical_rank")) / F.lit(2.0 / (config.rrf + 1))
     lex, vec, rec = config.hashing_weights if config.hashing else config.learnt_weights
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     both = both.withColumn("rrf", F.round(rrf, 9))
-    return both.withColumn("fused_score", F.round(lex * zero("lexical_score") + vec * zero("vector_score") + rec * F.col("rrf"), 9))
+    return both.withColumn("fused_score", lex * zero("lexical_score") + vec * zero("vector_score") + rec * F.col("rrf"))
 
 
 def intent_boost(question: Column, text: Column, raw: Column, title: Column, clause: Column, section: Column, lexicon: Lexicon = DEFAULT) -> Column:

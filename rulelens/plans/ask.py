@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.intents import finding_matches
+from ..functions.intents import NUMERIC_PASSAGE, finding_matches
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import feature_words, term_set
 from ..functions.vectors import hash_features
@@ -57,6 +57,8 @@ def settled_table(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder that the cluster names, so that later steps reread it instead of planning it anew."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulelens-"))
     return df.checkpoint(eager=True)
 
@@ -92,8 +94,10 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     decided = settled_table(E.decide(rest, evidence, clashes, gaps.select("qid", "seq", "explanation"), missing, settings.refusal, lexicon))
 
     title = F.concat_ws(" ", F.coalesce("section_title", F.lit("")), "text")
-    direct = evidence.where("support = 'DIRECT'").join(chunks.select("chunk_id", "section_id", term_set(title, lexicon=lexicon).alias("doc_terms")), "chunk_id")
-    picked = A.sources_by_aspect(direct.select("qid", "chunk_id", "section_id", "score", "doc_terms"), decided.select("qid", "aspects"), lexicon)
+    facts = chunks.select("chunk_id", "clause_id", "section_id", "cross_references", "source_order", F.col("text").rlike(NUMERIC_PASSAGE).alias("numeric"), term_set(title, lexicon=lexicon).alias("doc_terms"))
+    places = context.select("qid", "chunk_id", "pos", F.col("score").alias("ranking_score"))
+    direct = evidence.where("support = 'DIRECT'").select("qid", "chunk_id", "score").join(places, ["qid", "chunk_id"]).join(facts, "chunk_id")
+    picked = A.sources_by_aspect(direct, decided.select("qid", "question", "aspects"), lexicon)
     answered = picked.join(decided.where("decision = 'ANSWER'").select("qid"), "qid", "left_semi").select("qid", "chunk_id", "pick", F.lit(None).cast("string").alias("explanation"))
     sides = E.first_conflict(clashes).select("qid", F.posexplode("chunk_ids").alias("pick", "chunk_id"), "explanation")
     sides = sides.join(decided.where("decision = 'CONFLICT'").select("qid"), "qid", "left_semi").select("qid", "chunk_id", (F.col("pick") + 1).alias("pick"), "explanation")

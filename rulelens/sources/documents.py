@@ -7,6 +7,8 @@ Everything is keyed by path, so any number of documents go through one plan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
     raw = raw.withColumn("source", F.decode("content", "UTF-8"))
     raw = raw.withColumn("source", F.when(F.encode("source", "UTF-8") == F.col("content"), F.col("source")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path"))))
-    order = F.array_position(F.array(*[F.lit(p.rstrip("/").rsplit("/", 1)[-1]) for p in paths]), F.element_at(F.split("path", "/"), -1))
-    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), (order - 1).cast("int").alias("document_index"), "source")
+    order = None
+    # the whole path decides, as files of one name may lie in several folders; the longest ending that fits is meant
+    for at, p in sorted(enumerate(paths), key=lambda x: -len(x[1])):
+        ending = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", p).strip("/")
+        here = F.endswith(F.concat(F.lit("/"), "path"), F.lit(ending))
+        order = F.when(here, F.lit(at)) if order is None else order.when(here, F.lit(at))
+    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), order.cast("int").alias("document_index"), "source")
 
 
 def lines(documents: DataFrame) -> DataFrame:
