@@ -58,8 +58,21 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
             F.when(r["s"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"),
         )
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, first, step, lambda a: a["out"])).otherwise(F.array().cast(_SPANS))
+    def stretch(acc: Column, part: Column) -> Column:
+        own = F.struct(acc["at"].alias("at"), F.array().cast(_SPANS).alias("out"))
+        return F.aggregate(part, own, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    return F.when(text.rlike(pattern), F.aggregate(stretches(rows), first, stretch, lambda a: F.flatten(a["out"]))).otherwise(F.array().cast(_SPANS))
+
+
+#: How many rows of a text a pass appends to one array before it starts another, so that appending stays cheap.
+STRETCH = 256
+
+
+def stretches(rows: Column) -> Column:
+    """An array cut into arrays of at most ``STRETCH``; one empty array for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(STRETCH)), lambda k: F.slice(rows, k + 1, F.lit(STRETCH)))
 
 
 _PART = "struct<start:bigint,end:bigint,kind:int>"
@@ -82,10 +95,14 @@ def _pass(parts: str, forwards: bool, reach: int) -> str:
     keep = lambda c, kinds: f"case when p.kind = {_BREAK} then {far} when p.kind in ({kinds}) then {wider}(coalesce(acc.{c}, {mark}), {mark}) else acc.{c} end as {c}"
     base = f"case when p.kind in ({_BASE}, {_ACCESS}) then {wider}(coalesce(acc.b, {mark}), {mark}) else acc.b end as b"
     seen = f"struct(coalesce({gap('n')}, false) as n, coalesce({gap('s')}, false) as s, coalesce({over}, false) as b)"
-    out = (
-        f"aggregate({rows}, struct({far} as n, {far} as s, {far} as b, cast(array() as array<struct<n:boolean,s:boolean,b:boolean>>) as o), "
-        f"(acc, p) -> struct({keep('n', f'{_NAME}, {_ACCESS}')}, {keep('s', f'{_BASE}, {_WEAK}')}, {base}, concat(acc.o, array({seen})) as o), acc -> acc.o)"
+    marks = "array<struct<n:boolean,s:boolean,b:boolean>>"
+    cuts = f"transform(sequence(0, greatest(size({rows}) - 1, 0), {STRETCH}), k -> slice({rows}, k + 1, {STRETCH}))"
+    inner = (
+        f"aggregate(part, struct(whole.n as n, whole.s as s, whole.b as b, cast(array() as {marks}) as o), "
+        f"(acc, p) -> struct({keep('n', f'{_NAME}, {_ACCESS}')}, {keep('s', f'{_BASE}, {_WEAK}')}, {base}, concat(acc.o, array({seen})) as o), "
+        f"acc -> struct(acc.n as n, acc.s as s, acc.b as b, concat(whole.o, array(acc.o)) as o))"
     )
+    out = f"aggregate({cuts}, struct({far} as n, {far} as s, {far} as b, cast(array() as array<{marks}>) as o), (whole, part) -> {inner}, whole -> flatten(whole.o))"
     return out if forwards else f"reverse({out})"
 
 
@@ -176,9 +193,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 400) -> DataFra
             F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
         )
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    empty = F.array().cast("array<string>")
+
+    def stretch(acc: Column, part: Column) -> Column:
+        joined = lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(a["out"], ""))).alias("out"))
+        return F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step, joined)
+
+    first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
     whole = F.aggregate(
-        every, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text)))
+        stretches(every), first, stretch, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text)))
     )
     clean = F.when(F.size(every) > 0, whole).otherwise(text)
     return found.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
