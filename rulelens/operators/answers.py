@@ -74,10 +74,8 @@ def sources_by_aspect(direct: DataFrame, parts: DataFrame, lexicon: Lexicon = DE
     aspects). A pick counts for later ones, so the choice is sequential and runs grouped; a group is the dozen direct chunks
     of one question.
     """
-    told = F.transform(
-        "aspects",
-        lambda a: F.struct(term_set(a, True, lexicon).alias("wide"), F.array_except(term_set(a, True, lexicon), words(lexicon.intent)).alias("subject"), a.rlike(NUMERIC_QUESTION).alias("numeric")),
-    )
+    wide = F.transform("aspects", lambda a: F.struct(term_set(a, True, lexicon).alias("wide"), a.rlike(NUMERIC_QUESTION).alias("numeric")))
+    told = F.transform(wide, lambda a: F.struct(a["wide"].alias("wide"), F.array_except(a["wide"], words(lexicon.intent)).alias("subject"), a["numeric"].alias("numeric")))
     asked = parts.select("qid", told.alias("told"), lookup_ids(F.col("question")).alias("lookups"), F.contains(F.lower("question"), F.lit("exception")).alias("exception"))
     rows = direct.join(asked, "qid", "left")
     kind = direct.schema["qid"].dataType.simpleString()
