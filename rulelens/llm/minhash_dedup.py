@@ -15,8 +15,9 @@ and only links that join two of them leave. Which pairs inside one component lin
 nothing is lost and no group is expanded into its pairs.
 
 Defined results: a text without words, or null, has an empty set and links with nothing (its component is its own doc_id);
-fewer words than the shingle length make one shingle; repeated rows are equal sets; null doc_ids are ignored as
-representatives and get a null component; other columns are ignored; no rows give no rows.
+fewer words than the shingle length make one shingle; repeated rows are equal sets; rows of one doc_id with different texts
+are one document, which is linked where any of its texts is; null doc_ids are ignored as representatives and get the
+component of their set, or none; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -165,13 +166,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, scheme: Scheme) -> DataFrame:
-    """(rep, shingles): the whole sets of some documents, six bytes of hash a shingle, in order."""
+    """(rep, shingles): the whole sets of some documents, eight bytes of hash a shingle, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             packed = [b""] * len(pdf)
             for i, s in shingle_sets(pdf["text"], scheme.shingle):
-                packed[i] = s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                packed[i] = s.tobytes()
             yield pd.DataFrame({"rep": pdf["rep"], "shingles": packed})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
@@ -206,10 +207,8 @@ def _cross_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFra
         kinds, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         if len(kinds) < 2:
             return []
-        n = np.array([len(x) // 6 for x in packed])
-        wide = np.zeros((int(n.sum()), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
-        number = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)[1]
+        n = np.array([len(x) // 8 for x in packed])
+        number = np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)[1]
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         mark = np.zeros(int(number.max()) + 1, bool)
         root = list(range(len(kinds)))
@@ -259,11 +258,16 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
 def keep_one(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """One document of each group of near-duplicates, with its columns: the smallest doc_id, once.
 
-    Rows of one doc_id are one document; rows without doc_id stay.
+    Rows of one doc_id are one document, of which the row with the least hash of its text stays; rows without doc_id stay.
+    Only ids that repeat are sorted for that.
     """
     dropped = near_duplicates(docs, scheme).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))).alias("row"))
+    one = first.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return named.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one).unionByName(docs.where("doc_id is null"))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
@@ -296,10 +300,13 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     final = connected_components(linked.unionByName(_cross_links(members, docs, scheme)))
 
     named = classes.select("set_key", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select("set_key", F.coalesce("component", "rep").alias("c"))
+    named = named.select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("c"))
+    # empty sets have no key; each such row gets one of its own, longer than any digest, so that they do not gather
+    own = F.coalesce("set_key", F.concat(F.lit("-" * 17), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     return (
         rows.drop("sig")
-        .join(named, "set_key", "left")
+        .withColumn("key", own)
+        .join(named, "key", "left")
         .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )

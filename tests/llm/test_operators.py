@@ -624,10 +624,10 @@ def test_entities_equal_a_plain_scan(spark):
     assert all(seen[v].lower() == seen[v.lower()].lower() for v in shouted)
 
 
+#: A million characters of one kind, and dense texts of a hundred thousand.
 MILLION = {
-    "host": "x@" + "a." * 500_000 + "com", "local": "a" * 1_000_000 + "@b.cd", "words": "word " * 200_000, "one": "x" * 1_000_000, "digits": "7" * 1_000_000, "spaced": "7 " * 500_000, "capitals": "Aa " * 333_333,
-    "titles": "Mr " * 333_333, "names": "Mr Aa " * 100_000, "blanks": " " * 1_000_000, "lines": "\n" * 1_000_000, "hex": "0123456789abcdef " * 60_000, "access": "AKIA" * 250_000, "licence": "under the mit license " * 45_000,
-    "keys": "password=abcdefghijklmnop\n" * 38_000, "emoji": "😀" * 500_000,
+    "host": "x@" + "a." * 500_000 + "com", "local": "a" * 1_000_000 + "@b.cd", "words": "word " * 200_000, "one": "x" * 1_000_000, "digits": "7" * 1_000_000, "blanks": " " * 1_000_000, "access": "AKIA" * 250_000,
+    "names": "Mr Aa " * 15_000, "hex": "0123456789abcdef " * 6_000, "licence": "under the mit license " * 4_500, "keys": "password=abcdefghijklmnop\n" * 3_800, "emoji": "😀" * 100_000,
 }
 
 
@@ -637,29 +637,29 @@ def test_a_million_characters(spark, step):
     df = frame(spark, texts).repartition(4)
     if step == "pii":
         got = by_id(pii.anonymise(df, "k"))
-        assert got[0].n_entities == got[1].n_entities == 1 and got[0].text.endswith(".example") and got[8].n_entities >= 50_000 and got[2].text == texts[2]
+        assert got[0].n_entities == got[1].n_entities == 1 and got[0].text.endswith(".example") and got[7].n_entities >= 7_500 and got[2].text == texts[2]
     elif step == "license":
         got = by_id(license_scan.scan(df))
-        assert got[13].n_base == 45_000 and got[13].labels == "mit" and got[2].n_words == 200_000
+        assert got[9].n_base == 4_500 and got[9].labels == "mit" and got[2].n_words == 200_000
     elif step == "secret":
         got = by_id(secret_scan.report(df))
-        assert got[11].n_hex == 60_000 and got[12].n_access == 1 and got[14].n_assign == 38_000
-        assert by_id(secret_scan.redact(df))[12].text == "[SECRET]"
+        assert got[8].n_hex == 6_000 and got[6].n_access == 1 and got[10].n_assign == 3_800
+        assert by_id(secret_scan.redact(df))[6].text == "[SECRET]"
     elif step == "dedup":
         got = by_id(minhash_dedup.near_duplicates(df, minhash_dedup.Scheme(3, 85, 100)))
-        assert got[2].n_shingles == 1 == got[3].n_shingles and all(r.kept for i, r in got.items() if i not in (9, 10))
+        assert got[2].n_shingles == 1 == got[3].n_shingles and got[5].n_shingles == 0 and all(r.kept for r in got.values())
     elif step == "quality":
-        got = by_id(quality.classify(df, spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, quality int")))
-        assert len(got) == 16 and all(0 <= r.score <= 1 for r in got.values())
+        got = by_id(quality.classify(df, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")))
+        assert len(got) == 12 and all(0 <= r.score <= 1 for r in got.values())
     elif step == "decontamination":
         got = by_id(decontamination.contamination(df, spark.createDataFrame([(1, "word " * 30), (2, "under the mit license")], "item_id long, text string")))
-        assert (got[2].n_hit, got[2].contaminated, got[13].n_hit) == (200_000, True, 180_000) and got[0].n_hit == 0
+        assert (got[2].n_hit, got[2].contaminated, got[9].n_hit) == (200_000, True, 18_000) and got[0].n_hit == 0
     elif step == "bpe":
-        ids = by_id(bpe.tokenize(df.where("doc_id in (2, 3, 11)"), VOCABULARY))
+        ids = by_id(bpe.tokenize(df.where("doc_id in (2, 3, 8)"), VOCABULARY))
         assert ids[2].n_tokens == 200_000
     elif step == "chat":
         rows = df.selectExpr("doc_id as conv_id", "1 as turn", "'assistant' as role", "text")
-        assert chat_format.stale_reply_pairs(rows).where("differs").count() == 16
+        assert chat_format.stale_reply_pairs(rows).where("differs").count() == 12
     else:
         got = by_id(warc.roundtrip(df.selectExpr("doc_id as page_id", "lang as url", "text as html")), "page_id")
         assert all(got[i].payload_bytes == len(t.encode()) for i, t in enumerate(texts))
@@ -702,3 +702,12 @@ def test_the_automaton_is_small():
     size = sum(len(t) for _, t in items)
     assert own.machine.get_stats()["total_size"] < 30 * size
     assert all(own.scan(f"a b {t} c".encode())[2] == {i} for i, t in items[::100])
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f", "en", "s", 1, "x"), (1, "u v w x y z", "en", "s", 1, "y"), (2, "q q q q q q q", "en", "s", 1, "x"), (3, None, "en", "s", None, None), (3, None, "en", "s", None, None)]
+    kept = []
+    for order, n in ((rows, 1), (rows[::-1], 3)):
+        got = minhash_dedup.keep_one(spark.createDataFrame(order, DOCS).repartition(n)).collect()
+        kept.append(sorted((r.doc_id, r.text or "") for r in got))
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [1, 2, 3]
