@@ -77,6 +77,11 @@ def stem(token: Column) -> Column:
     return stems(F.array(token))[0]
 
 
+def stem_column(token: Column) -> Column:
+    """T3 of a column of tokens, as one expression that runs in generated code."""
+    return _suffix(_bare(token))
+
+
 def raw_tokens(text: Column) -> Column:
     """Tokens of the lower-cased text, without section and dollar signs or thousands commas."""
     found = extract_all(F.lower(text), TOKEN)

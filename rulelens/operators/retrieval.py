@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intents import LIST_QUESTION, NUMERIC_PASSAGE, NUMERIC_QUESTION
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import one_edit_apart, policy_ids, stem, term_set, tokenize
-from ..functions.vectors import bm25, clamp, inner_product, squash
+from ..functions.text import one_edit_apart, policy_ids, raw_tokens, stem, stem_column, term_set, tokenize
+from ..functions.vectors import bm25, clamp, squash
 
 
 @dataclass(frozen=True)
@@ -32,13 +34,25 @@ class RetrievalConfig:
 
 
 def postings(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """G1: (chunk, token, tf)."""
-    return chunks.select(key, F.explode(tokenize(text, lexicon=lexicon)).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).alias("tf"))
+    """G1: (chunk, token, tf).
+
+    Tokens are exploded as they stand and counted; stop words and stems are then plain columns over distinct tokens of a
+    chunk, inside generated code, instead of functions over arrays.
+    """
+    raw = chunks.select(key, F.explode(raw_tokens(text)).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
+    stemmed = raw.select(key, "raw", "n", stem_column(F.col("raw")).alias("tok"))
+    if lexicon.stop_words:
+        stop = sorted(lexicon.stop_words)
+        stemmed = stemmed.where(~F.col("raw").isin(stop) & ~F.col("tok").isin(stop))
+    return stemmed.groupBy(key, "tok").agg(F.sum("n").alias("tf"))
 
 
-def lengths(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(chunk, dl) of every chunk, empty ones included."""
-    return chunks.select(key, F.size(tokenize(text, lexicon=lexicon)).cast("long").alias("dl"))
+def lengths(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Lexicon = DEFAULT, post: DataFrame | None = None) -> DataFrame:
+    """(chunk, dl) of every chunk, empty ones included; from ``post`` where it is at hand, so that texts are cut into tokens once."""
+    if post is None:
+        return chunks.select(key, F.size(tokenize(text, lexicon=lexicon)).cast("long").alias("dl"))
+    held = post.groupBy(key).agg(F.sum("tf").cast("long").alias("dl"))
+    return chunks.select(key).join(held, key, "left").select(key, F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -71,7 +85,8 @@ def top_k(scores: DataFrame, k: int, score: str = "score", tie: str = "source_or
 
 def lexical_candidates(questions: DataFrame, chunks: DataFrame, text: Column, k: int, lexicon: Lexicon = DEFAULT, vocabulary_fix: bool = True) -> DataFrame:
     """(qid, chunk_id, lexical_score, lexical_rank), scores over each question's best; R3: no terms, no rows."""
-    post, dl = postings(chunks, text, lexicon=lexicon), lengths(chunks, text, lexicon=lexicon)
+    post = postings(chunks, text, lexicon=lexicon)
+    dl = lengths(chunks, text, lexicon=lexicon, post=post)
     terms = questions.select("qid", F.explode(term_set(F.col("question"), True, lexicon)).alias("tok"))
     if vocabulary_fix:
         fixed = corrections(terms.select("qid", "tok"), post.select("tok").distinct())
@@ -99,21 +114,36 @@ def corrections(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return near.groupBy("qid", "tok").agg(F.count_distinct("word").alias("n"), F.min("word").alias("correction")).where("n = 1").drop("n")
 
 
-def dense_candidates(questions: DataFrame, chunks: DataFrame, k: int, places: int = 9, salts: int = 64, block_rows: int = 4096) -> DataFrame:
+def dense_candidates(questions: DataFrame, chunks: DataFrame, k: int, places: int = 9, cell_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
     """(qid, chunk_id, vector_score, vector_rank), exact inner products of unit vectors.
 
     The questions are a stated set that meets every chunk, so both sides are dealt over a grid: questions by hash into
-    blocks of about ``block_rows`` and copied to every salt, chunks by hash to one salt and copied to every block (of which
-    a usual question set has one). Neither side is broadcast or gathered, and only the best k of each part leave a task.
+    blocks of about ``block_rows`` and copied to every cell, chunks by hash into cells of about ``cell_rows`` and copied to every
+    block (of which a usual question set has one). The number of cells follows that of the chunks. A task multiplies one block
+    with one cell as matrices and lets only the best k of each question leave; neither side is broadcast or gathered.
     """
-    blocks = max(1, -(-questions.count() // block_rows))
+    blocks, cells = max(1, -(-questions.count() // block_rows)), max(1, -(-chunks.count() // cell_rows))
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = questions.select(cell("qid", blocks).alias("block"), "qid", F.col("embedding").alias("qv")).withColumn("salt", all_of(salts))
-    c = chunks.select("chunk_id", "source_order", "embedding", cell("chunk_id", salts).alias("salt")).withColumn("block", all_of(blocks))
-    scored = c.join(q, ["block", "salt"]).select(
-        "qid", "chunk_id", "source_order", F.round(inner_product(F.col("qv"), F.col("embedding")), places).alias("score")
-    )
+    q = questions.select(cell("qid", blocks).alias("block"), "qid", F.col("embedding").cast("array<double>").alias("qv")).withColumn("cell", all_of(cells))
+    c = chunks.select("chunk_id", "source_order", F.col("embedding").cast("array<double>").alias("v"), cell("chunk_id", cells).alias("cell")).withColumn("block", all_of(blocks))
+    kinds = {name: df.schema[name].dataType.simpleString() for df, name in ((questions, "qid"), (chunks, "chunk_id"), (chunks, "source_order"))}
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("source_order", kind="stable").reset_index(drop=True)
+            x, y = np.stack(left["qv"].to_numpy()), np.stack(right["v"].to_numpy())
+            names, orders = right["chunk_id"].to_numpy(), right["source_order"].to_numpy()
+            for at in range(0, len(x), 64):
+                for qid, row in zip(left["qid"].iloc[at : at + 64], x[at : at + 64] @ y.T, strict=True):
+                    score = np.round(row, places)
+                    # the sort is stable over rows in source order, so ties go by it
+                    first = np.argsort(-score, kind="stable")[:k]
+                    out.append(pd.DataFrame({"qid": qid, "chunk_id": names[first], "source_order": orders[first], "score": score[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": left["qid"][:0], "chunk_id": right["chunk_id"][:0], "source_order": right["source_order"][:0], "score": np.zeros(0)})
+
+    scored = q.groupBy("block", "cell").cogroup(c.groupBy("block", "cell")).applyInPandas(meet, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", score double")
     return top_k(scored, k, rank="vector_rank").select("qid", "chunk_id", clamp(F.col("score")).alias("vector_score"), "vector_rank")
 
 

@@ -83,7 +83,8 @@ def doc_freq(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl FROM ({_TOKENS})")
 def avg_len(spark, sf_dir):
-    s = retrieval.collection_stats(retrieval.lengths(table(spark, sf_dir, "documents"), F.col("text"), "doc_id"))
+    docs = table(spark, sf_dir, "documents")
+    s = retrieval.collection_stats(retrieval.lengths(docs, F.col("text"), "doc_id", post=retrieval.postings(docs, F.col("text"), "doc_id")))
     return s.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -98,11 +99,12 @@ s AS (SELECT qid, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM s WHERE score > 0)"""
 
 
-def _bm25(spark, sf_dir, k=18):
+def _bm25(spark, sf_dir, k=18, post=None):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.term_set(F.col("text"))).alias("tok"))
     text = F.col("text")
-    scores = retrieval.bm25_scores(terms, retrieval.postings(docs, text, "doc_id"), retrieval.lengths(docs, text, "doc_id"), "doc_id")
+    post = retrieval.postings(docs, text, "doc_id") if post is None else post
+    scores = retrieval.bm25_scores(terms, post, retrieval.lengths(docs, text, "doc_id", post=post), "doc_id")
     return retrieval.top_k(scores, k, tie="doc_id")
 
 
@@ -125,8 +127,8 @@ SELECT qid, doc_id, vector_rank, lexical_rank, round(rrf, 6) AS rrf, round(0.84e
 )
 def hybrid_rrf(spark, sf_dir):
     top = F.max("score").over(Window.partitionBy("qid"))
-    lex = _bm25(spark, sf_dir).select("qid", F.col("doc_id").alias("chunk_id"), F.col("rank").alias("lexical_rank"), (F.col("score") / top).alias("lexical_score"))
     post = retrieval.postings(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+    lex = _bm25(spark, sf_dir, post=post).select("qid", F.col("doc_id").alias("chunk_id"), F.col("rank").alias("lexical_rank"), (F.col("score") / top).alias("lexical_score"))
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.term_set(F.col("text"))).alias("tok"))
     shared = terms.join(post, "tok").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("score"))
     second = retrieval.top_k(shared, 18, tie="doc_id", rank="vector_rank").select("qid", F.col("doc_id").alias("chunk_id"), "vector_rank", V.clamp(F.col("score") / 100.0).alias("vector_score"))
@@ -136,7 +138,10 @@ def hybrid_rrf(spark, sf_dir):
 
 @query(f"SELECT DISTINCT unnest(toks) AS tok FROM ({_TOKENS})")
 def stemmed_vocab(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("tok")).distinct()
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(F.explode(T.raw_tokens(F.col("text"))).alias("raw")).distinct()
+    stop = sorted(DEFAULT.stop_words)
+    return raw.select("raw", T.stem_column(F.col("raw")).alias("tok")).where(~F.col("raw").isin(stop) & ~F.col("tok").isin(stop)).select("tok").distinct()
 
 
 _SYN = "VALUES " + ", ".join(f"('{k}', {_list(v)})" for k, v in sorted(DEFAULT.synonyms.items()))
