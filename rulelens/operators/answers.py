@@ -176,3 +176,20 @@ def coverage_gate(questions: DataFrame, provider: Provider) -> DataFrame:
 
     raw = questions.select("qid", "question", "context").mapInPandas(run, f"qid {kind}, reply string")
     return raw.select("qid", F.from_json("reply", COVERAGE).alias("coverage")).withColumn("coverage", F.when(F.col("coverage.covered").isNotNull(), F.col("coverage")))
+
+
+def generated(questions: DataFrame, provider: Provider) -> DataFrame:
+    """(qid, prose) that the model makes of questions(qid, question, context); null where it fails, so that no row stops a job."""
+    kind = questions.schema["qid"].dataType.simpleString()
+
+    def one(question: str, context: str) -> str | None:
+        try:
+            return provider.answer(question, context)
+        except Exception:  # a provider may fail in any way of its own; the quotes then stand
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"qid": pdf["qid"], "prose": [one(q, c) for q, c in zip(pdf["question"], pdf["context"], strict=True)]})
+
+    return questions.select("qid", "question", "context").mapInPandas(run, f"qid {kind}, prose string")

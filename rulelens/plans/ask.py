@@ -50,6 +50,12 @@ def load_corpus(spark: SparkSession, index: str, findings: str, contacts: str, t
     """A checked index with its companions."""
     vectors, chunks, _ = indexes.load_index(spark, index, indexes.bundle_digest(sources) if sources else None)
     rules = companions.load_timeline(spark, timeline) if timeline else None
+    if rules is not None:
+        in_force = chunks.where("source_kind = 'amendment'").agg(F.max("effective_date")).first()[0]
+        bare = chunks.withColumn("source_locator", F.element_at(F.split("source_locator", ":"), -1))
+        wrong = temporal.validate_rules(rules, bare, str(in_force)).limit(1).collect()
+        if wrong:
+            raise companions.CompanionError(f"timeline rule {wrong[0]['rule_id']}: {wrong[0]['problem']}")
     return Corpus(chunks.join(vectors, "chunk_id"), companions.load_findings(spark, findings), companions.load_contacts(spark, contacts), rules, tuple(topics))
 
 
@@ -63,10 +69,12 @@ def settled_table(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = companions.Settings(), lexicon: Lexicon = DEFAULT, trace: bool = False) -> DataFrame:
+def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = companions.Settings(), lexicon: Lexicon = DEFAULT, trace: bool = False, provider: A.Provider | None = None) -> DataFrame:
     """Answers to questions(qid, question[, given_change, given_determination]), all in one plan.
 
-    Questions that a versioned rule settles leave before retrieval; the rest are retrieved, expanded, graded and decided.
+    Questions that a versioned rule settles leave before retrieval; the rest are retrieved, expanded, graded and decided. A
+    language model, if one is given, may veto an answer for lack of coverage, and its wording replaces the quotes only where
+    it says nothing that the cited texts do not.
     """
     chunks = corpus.chunks
     spark = questions.sparkSession
@@ -93,6 +101,9 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     missing = E.missing_aspects(rest, evidence, chunks, lexicon)
     decided = settled_table(E.decide(rest, evidence, clashes, gaps.select("qid", "seq", "explanation"), missing, settings.refusal, lexicon))
 
+    if provider is not None:
+        decided = settled_table(gated(decided, context, chunks, provider))
+
     title = F.concat_ws(" ", F.coalesce("section_title", F.lit("")), "text")
     facts = chunks.select("chunk_id", "clause_id", "section_id", "cross_references", "source_order", F.col("text").rlike(NUMERIC_PASSAGE).alias("numeric"), term_set(title, lexicon=lexicon).alias("doc_terms"))
     places = context.select("qid", "chunk_id", "pos", F.col("score").alias("ranking_score"))
@@ -104,7 +115,12 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     noted = gaps.select("qid", F.posexplode("clause_ids").alias("pick", "clause_id")).join(chunks.select("chunk_id", "clause_id"), "clause_id")
     noted = noted.join(decided.where("rule = 'gap'").select("qid"), "qid", "left_semi").select("qid", "chunk_id", (F.col("pick") + 1).alias("pick"), F.lit(None).cast("string").alias("explanation"))
     cited = answered.unionByName(sides).unionByName(noted).join(chunks.select("chunk_id", A.citation().alias("citation")), "chunk_id").drop("chunk_id")
+    # what an answer rests on was retrieved, or it is no answer
+    lost = A.unretrieved(answered.unionByName(sides).select("qid", "chunk_id"), context).select("qid").distinct().withColumn("lost", F.lit(True))
+    decided = decided.join(lost, "qid", "left").withColumns({"decision": F.when(F.col("lost"), "REFUSE").otherwise(F.col("decision")), "rule": F.when(F.col("lost"), "unretrieved").otherwise(F.col("rule"))}).drop("lost")
     out = A.build(decided, cited, corpus.contacts).withColumn("path", F.lit("evidence"))
+    if provider is not None:
+        out = worded(out, context, chunks, provider, lexicon)
     if settled is not None:
         done = F.col("status") == "resolved"
         sources = corpus.rules.select("rule_id", F.explode(F.concat("target_clause_ids", F.array_compact(F.array("amendment_paragraph_id", "transition_paragraph_id")))).alias("ref"))
@@ -133,6 +149,26 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     return out
 
 
+def gated(decided: DataFrame, context: DataFrame, chunks: DataFrame, provider: A.Provider) -> DataFrame:
+    """Decisions, answers that the model does not find covered, or on which it gives no proper reply, refused."""
+    asked = decided.where("decision = 'ANSWER'").select("qid", "question").join(A.context_json(context, chunks), "qid")
+    verdicts = A.coverage_gate(asked, provider).select("qid", "coverage")
+    both = decided.join(verdicts, "qid", "left")
+    veto = (F.col("decision") == "ANSWER") & ~F.coalesce("coverage.covered", F.lit(False))
+    reason = F.coalesce(F.concat(F.lit("Not covered: "), "coverage.uncovered_aspect"), F.lit("The sources do not cover the question."))
+    return both.withColumns(
+        {"reason": F.when(veto, reason).otherwise(F.col("reason")), "rule": F.when(veto, "not_covered").otherwise(F.col("rule")), "decision": F.when(veto, "REFUSE").otherwise(F.col("decision"))}
+    ).drop("coverage")
+
+
+def worded(answers: DataFrame, context: DataFrame, chunks: DataFrame, provider: A.Provider, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Answers in the model's words where these pass the checks against the cited texts; the quotes stay otherwise."""
+    asked = answers.where("decision = 'ANSWER'").select("qid", "question", F.array_join(F.transform("citations", lambda c: F.concat(F.lit("§"), F.coalesce(c["clause_id"], c["chunk_id"]), F.lit(" "), c["excerpt"])), " ").alias("source"))
+    prose = A.generated(asked.join(A.context_json(context, chunks), "qid"), provider)
+    checked = A.validate_prose(asked.join(prose, "qid"), lexicon).where("problem is null and trim(prose) <> ''").select("qid", "prose")
+    return answers.join(checked, "qid", "left").withColumn("answer", F.coalesce("prose", "answer")).drop("prose")
+
+
 def ask_one(spark: SparkSession, question: str, corpus: Corpus, **given) -> dict:
     """One question, as a table of one row."""
     if not question.strip():

@@ -467,3 +467,58 @@ def test_questions_to_answers(spark, corpus, tmp_path):
     assert {r.qid: r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {i: got[i].decision for i, _ in qs[:3]}
     with pytest.raises(ValueError, match="empty"):
         ask.ask_one(spark, " ", corpus)
+
+
+class Voice(answers.Provider):
+    """Covers nothing about galaxies, and words answers well, with an invented number, or not at all."""
+
+    def coverage(self, question, context):
+        return {"covered": "offer" in question, "uncovered_aspect": "bills"}
+
+    def answer(self, question, context):
+        if "fail" in question:
+            raise RuntimeError("no answer")
+        return "An applicant must accept an offered plot within 14 calendar days." if "how many" in question.lower() else "An applicant must accept an offered plot within 99 days."
+
+
+def test_a_model_may_veto_and_word(spark, chunks):
+    by = {r.clause_id: r.chunk_id for r in chunks.where("clause_id is not null").collect()}
+    qs = [("good", "How many days to accept an offered plot?"), ("made", "When must an offered plot be accepted?"), ("none", "Must an offer fail?"), ("bare", "Which bill is accepted?")]
+    decided = spark.createDataFrame([(i, q, "ANSWER", "r", "answer") for i, q in qs], "qid string, question string, decision string, reason string, rule string")
+    context = spark.createDataFrame([(i, by["1.2.2"], 1) for i, _ in qs], "qid string, chunk_id string, pos int")
+    gate = {r.qid: (r.decision, r.rule, r.reason) for r in ask.gated(decided, context, chunks, Voice()).collect()}
+    assert gate["good"] == ("ANSWER", "answer", "r") and gate["bare"] == ("REFUSE", "not_covered", "Not covered: bills")
+    cited = context.join(chunks.select("chunk_id", answers.citation().alias("citation")), "chunk_id").select("qid", F.lit(1).alias("pick"), "citation", F.lit(None).cast("string").alias("explanation"))
+    contacts = spark.createDataFrame([("default", "Ask.")], "route string, next_step string")
+    plain = answers.build(decided, cited, contacts)
+    got = {r.qid: r.answer for r in ask.worded(plain, context, chunks, Voice()).collect()}
+    assert got["good"] == "An applicant must accept an offered plot within 14 calendar days." and got["made"].startswith("§1.2.2: ") and got["none"].startswith("§1.2.2: ")
+
+
+def test_sources_follow_the_rule():
+    row = lambda clause, score, **kw: {"clause_id": clause, "section_id": clause.rsplit(".", 1)[0], "cross_references": set(), "source_order": int(clause[-1]), "score": score, "ranking_score": score, "doc_terms": set(), "numeric": False} | kw
+    aspect = lambda *terms, numeric=False: {"wide": set(terms), "subject": set(terms) - {"long"}, "numeric": numeric}
+    rows = [row("1.1.1", 0.7, doc_terms={"rent"}), row("1.1.2", 0.9, doc_terms={"water"}), row("2.1.3", 0.6, doc_terms={"rent", "water"}, numeric=True), row("3.1.4", 0.5)]
+    pick = lambda *a: [rows[i]["clause_id"] for i in answers._chosen(rows, *a)]
+    assert pick([], {"3.1.4", "1.1.1"}, False) == ["1.1.1", "3.1.4"]
+    assert pick([], set(), False) == ["1.1.2"] and pick([], set(), True) == ["1.1.2", "1.1.1"]
+    assert pick([aspect("rent"), aspect("long", "water", numeric=True)], set(), False) == ["1.1.1", "1.1.2"]
+    assert pick([aspect("whale")], set(), False) == ["1.1.2"]
+    rows[1]["cross_references"] = {"2.1", "3.1.4"}
+    assert pick([], set(), False) == ["1.1.2", "2.1.3"]
+
+
+def test_folds_hang_together_by_clauses(spark):
+    cases = [(f"c{i}", [f"k{i}", f"k{i + 1}"] if i % 5 else [f"k{i}"]) for i in range(30)] + [("lone", [])]
+    f = evaluation.disjoint_folds(spark.createDataFrame(cases, "case_id string, expected_evidence_clause_ids array<string>"), n=3)
+    assert f.count() == 31 and sum(evaluation.fold_overlap(f.where(f"fold = {i}"), f.where(f"fold <> {i}")).count() for i in range(3)) == 0
+    split = evaluation.fold_overlap(f.where("case_id = 'c1'"), f.where("case_id = 'c2'")).collect()
+    assert [tuple(r) for r in split] == [("clause", "k2")]
+
+
+def test_documents_of_one_name_keep_their_order(spark, tmp_path):
+    for k in ("b", "a"):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "rules.md").write_text(f"# {k}")
+    got = documents.read_documents(spark, [str(tmp_path / "b" / "rules.md"), f"file://{tmp_path}/a/rules.md"]).collect()
+    assert {r.source: r.document_index for r in got} == {"# b": 0, "# a": 1}
