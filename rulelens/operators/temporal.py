@@ -37,20 +37,28 @@ def as_of(facts: DataFrame, versions_: DataFrame, day: str, on: list[str]) -> Da
     return facts.join(v, match & inside).drop(*[f"v_{k}" for k in on])
 
 
-def latest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, value: list[str]) -> DataFrame:
-    """The latest right row at or before each left row, by one union and one window instead of a range join.
+def latest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, value: list[str], stretch: Column | None = None) -> DataFrame:
+    """The latest right row at or before each left row, by one union and two windows instead of a range join.
 
-    Both sides are dealt by key and time once; the window carries the last right row forward, so a hot key costs a sort of
-    its rows and never a product. ``at`` names the time on both sides; right columns come out prefixed with ``last_``.
+    Both sides are dealt once by key and ``stretch`` of time (by default the day), and a window carries the last right row
+    forward within a stretch; the last one of earlier stretches comes from a table of one row for each key and stretch. So
+    a hot key is spread over its stretches, and no key's rows meet as a product. ``at`` names the time on both sides; right
+    columns come out prefixed with ``last_``.
     """
     from pyspark.sql import Window
 
-    rows = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(at, *value)).schema[0].dataType).alias("_r"))
+    stretch = F.date_trunc("day", F.col(at)) if stretch is None else stretch
+    rows = left.select(*left.columns, F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(at, *value)).schema[0].dataType).alias("_r"))
     tagged = right.select(*by, at, F.lit(0).alias("_side"), F.struct(at, *value).alias("_r"))
-    both = rows.unionByName(tagged, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select(*left.columns, *[F.col(f"_last.{c}").alias(f"last_{c}") for c in (at, *value)])
+    both = rows.unionByName(tagged, allowMissingColumns=True).withColumn("_stretch", stretch)
+    w = Window.partitionBy(*by, "_stretch").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    ends = both.groupBy(*by, "_stretch").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(at))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_stretch", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    known = inside.alias("i").join(carried.alias("c"), [F.col(f"i.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*by, "_stretch")], "left")
+    last = F.coalesce("_last", "_carried")
+    return known.select(*[F.col(f"i.{c}") for c in left.columns], *[last[c].alias(f"last_{c}") for c in (at, *value)])
 
 
 def topic_of(questions: DataFrame, topics: list[tuple[str, str]]) -> Column:

@@ -394,18 +394,30 @@ def anti_unresolved(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text, ' ')))")
 def contained_passages(spark, sf_dir):
-    """Passages meet documents by five whole words from inside the passage; few words, which are rare, meet by any of theirs."""
+    """Passages meet documents by whole words from inside the passage: five of a long one, the longest one of a short one.
+
+    The first and last word of a passage may stand inside longer words of a document, so one of two words or fewer has no word
+    to meet by; those alone are compared with every document, as a table whose size is checked.
+    """
     cut = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("passage")).withColumn("w", cut(F.col("passage")))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = b.where("size(w) >= 7").select("item_id", "passage", F.xxhash64(*[F.col("w")[i] for i in range(1, 6)]).alias("k"))
-    run = d.select("doc_id", cut(F.col("text")).alias("w")).where("size(w) >= 5")
+    words = d.select("doc_id", cut(F.col("text")).alias("w"))
+    keyed = b.where("size(w) >= 7").select("item_id", F.xxhash64(*[F.col("w")[i] for i in range(1, 6)]).alias("k"))
     shifted = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.size("w") - 4).alias(f"w{i}") for i in range(5)])
-    fives = run.select("doc_id", F.explode(shifted).alias("x")).select("doc_id", F.xxhash64(*[F.col(f"x.w{i}") for i in range(5)]).alias("k"))
-    keys = fives.join(keyed, "k").select("doc_id", "item_id", "passage").distinct()
-    long_ = keys.select("item_id", "passage", "doc_id").join(d, "doc_id").where(F.contains(F.lower("text"), F.col("passage"))).select("item_id", "doc_id")
-    short = b.where("size(w) < 7").join(d, F.contains(F.lower("text"), F.col("passage"))).select("item_id", "doc_id")
-    return long_.unionByName(short).distinct()
+    fives = words.where("size(w) >= 5").select("doc_id", F.explode(shifted).alias("x")).select("doc_id", F.xxhash64(*[F.col(f"x.w{i}") for i in range(5)]).alias("k"))
+    longest = F.array_max(F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    inner = b.where("size(w) between 3 and 6").select("item_id", longest.alias("k"))
+    singles = words.select("doc_id", F.explode(F.array_distinct("w")).alias("k"))
+    met = fives.join(_small(keyed), "k").select("doc_id", "item_id").unionByName(singles.join(_small(inner), "k").select("doc_id", "item_id")).distinct()
+    sure = met.join(_small(b.select("item_id", "passage")), "item_id").join(d, "doc_id").where(F.contains(F.lower("text"), F.col("passage"))).select("item_id", "doc_id")
+    brief = b.where("size(w) < 3").join(d, F.contains(F.lower("text"), F.col("passage"))).select("item_id", "doc_id")
+    return sure.unionByName(brief).distinct()
+
+
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 # --- evaluation (G13-G19, L1, W16, J20) -----------------------------------------------------------------
