@@ -40,14 +40,16 @@ def as_of(facts: DataFrame, versions_: DataFrame, day: str, on: list[str]) -> Da
 def latest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, value: list[str], stretch: Column | None = None) -> DataFrame:
     """The latest right row at or before each left row, by one union and two windows instead of a range join.
 
-    Both sides are dealt once by key and ``stretch`` of time (by default the day), and a window carries the last right row
+    Both sides are dealt once by key and ``stretch`` of time (by default the day, or a thousand of a number), and a window carries the last right row
     forward within a stretch; the last one of earlier stretches comes from a table of one row for each key and stretch. So
     a hot key is spread over its stretches, and no key's rows meet as a product. ``at`` names the time on both sides; right
     columns come out prefixed with ``last_``.
     """
     from pyspark.sql import Window
 
-    stretch = F.date_trunc("day", F.col(at)) if stretch is None else stretch
+    if stretch is None:
+        timed = left.schema[at].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+        stretch = F.date_trunc("day", F.col(at)) if timed else F.floor(F.col(at) / 1000)
     rows = left.select(*left.columns, F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(at, *value)).schema[0].dataType).alias("_r"))
     tagged = right.select(*by, at, F.lit(0).alias("_side"), F.struct(at, *value).alias("_r"))
     both = rows.unionByName(tagged, allowMissingColumns=True).withColumn("_stretch", stretch)
