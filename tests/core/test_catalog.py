@@ -46,3 +46,24 @@ def test_hash_embedding_has_the_default_dimension(spark, tmp_path):
     text = spark.createDataFrame([("a few words about the limit",)], "text string")
     want = text.select(V.hash_features(768)(T.feature_words(text.text)).alias("e")).first().e
     assert {len(v) for v in got.values()} == {companions.Settings().dimension} == {768} and got[0] == want
+
+
+def test_engine_queries_equal_their_sql(spark):
+    import os
+
+    import pytest
+    from rulelens.plans import engine_queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    for t in engine_queries._TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    for name in ("context_expand", "decisions", "built_answers", "case_scores", "calibration"):
+        df = catalog.QUERIES[name](spark, folder)
+        columns = sorted(df.columns)
+        want = con.execute(catalog.ORACLE[name])
+        at = [[d[0] for d in want.description].index(c) for c in columns]
+        rows = sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+        assert rows and sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == rows, name
