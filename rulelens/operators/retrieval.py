@@ -33,13 +33,22 @@ class RetrievalConfig:
     hashing: bool = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files give fewer parts, as dear work on each row would leave the others idle.
+
+    A table of many parts, which is any large one, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """G1: (chunk, token, tf).
 
     Tokens are exploded as they stand and counted; stop words and stems are then plain columns over distinct tokens of a
     chunk, inside generated code, instead of functions over arrays.
     """
-    raw = chunks.select(key, F.explode(raw_tokens(text)).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
+    raw = spread(chunks.select(key, text.alias("text"))).select(key, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
     stemmed = raw.select(key, "raw", "n", stem_column(F.col("raw")).alias("tok"))
     if lexicon.stop_words:
         stop = sorted(lexicon.stop_words)

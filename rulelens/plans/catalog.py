@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..functions.intents import MODALITY, NUMERIC_PASSAGE, is_underspecified, next_step_key
 from ..functions.lexicon import DEFAULT
 from ..operators import evaluation, retrieval, temporal
+from .ask import settled_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,11 +100,16 @@ s AS (SELECT qid, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM s WHERE score > 0)"""
 
 
+def _postings(spark, sf_dir):
+    """The index of a query, settled: lengths, frequencies and scores read it, and none cuts the texts into tokens anew."""
+    return settled_table(retrieval.postings(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id"))
+
+
 def _bm25(spark, sf_dir, k=18, post=None):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.term_set(F.col("text"))).alias("tok"))
     text = F.col("text")
-    post = retrieval.postings(docs, text, "doc_id") if post is None else post
+    post = _postings(spark, sf_dir) if post is None else post
     scores = retrieval.bm25_scores(terms, post, retrieval.lengths(docs, text, "doc_id", post=post), "doc_id")
     return retrieval.top_k(scores, k, tie="doc_id")
 
@@ -127,7 +133,7 @@ SELECT qid, doc_id, vector_rank, lexical_rank, round(rrf, 6) AS rrf, round(0.84e
 )
 def hybrid_rrf(spark, sf_dir):
     top = F.max("score").over(Window.partitionBy("qid"))
-    post = retrieval.postings(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
+    post = _postings(spark, sf_dir)
     lex = _bm25(spark, sf_dir, post=post).select("qid", F.col("doc_id").alias("chunk_id"), F.col("rank").alias("lexical_rank"), (F.col("score") / top).alias("lexical_score"))
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.term_set(F.col("text"))).alias("tok"))
     shared = terms.join(post, "tok").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("score"))
@@ -139,7 +145,7 @@ def hybrid_rrf(spark, sf_dir):
 @query(f"SELECT DISTINCT unnest(toks) AS tok FROM ({_TOKENS})")
 def stemmed_vocab(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    raw = docs.select(F.explode(T.raw_tokens(F.col("text"))).alias("raw")).distinct()
+    raw = retrieval.spread(docs.select("text")).select(F.explode(T.raw_tokens(F.col("text"))).alias("raw")).distinct()
     stop = sorted(DEFAULT.stop_words)
     return raw.select("raw", T.stem_column(F.col("raw")).alias("tok")).where(~F.col("raw").isin(stop) & ~F.col("tok").isin(stop)).select("tok").distinct()
 
@@ -401,7 +407,7 @@ def contained_passages(spark, sf_dir):
     """
     cut = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("passage")).withColumn("w", cut(F.col("passage")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = retrieval.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = d.select("doc_id", cut(F.col("text")).alias("w"))
     keyed = b.where("size(w) >= 7").select("item_id", F.xxhash64(*[F.col("w")[i] for i in range(1, 6)]).alias("k"))
     shifted = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.size("w") - 4).alias(f"w{i}") for i in range(5)])
