@@ -117,7 +117,7 @@ FROM c WHERE list_contains({_TITLED}, lower(section_title)) GROUP BY section_id)
 
 
 @query(f"""{_WITH}, {_OPERATIVE} SELECT section_id, "to" AS chunk_id FROM op""")
-def operative_clauses(spark, sf_dir):
+def clauses_of_intent(spark, sf_dir):
     return expansion.operative_clauses(_chunks(spark, sf_dir)).select("section_id", F.col("to").alias("chunk_id"))
 
 
