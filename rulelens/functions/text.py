@@ -10,6 +10,7 @@ from .lexicon import DEFAULT, Lexicon
 #: Token and number patterns (fixed values), over lower-cased text.
 TOKEN = r"§?[0-9]+(?:\.[0-9]+)+|\$?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?|[a-z][a-z'-]*"
 NUMBER = r"\$?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
+FEATURE_WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 SECTION_REF = r"§([0-9]+\.[0-9]+(?:\.[0-9]+[A-Z]?)?)"
 POLICY_ID = r"§?([0-9]+\.[0-9]+(?:\.[0-9]+)?)"
 QUANTITY = r"(?i)(\$?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*(calendar\s+days?|working\s+days?|days?|weeks?|months?|years?|per\s+cent|percent|%)"
@@ -130,7 +131,7 @@ def one_edit_apart(a: Column, b: Column) -> Column:
 
 def feature_words(text: Column) -> Column:
     """Words, and pairs of neighbours joined by two colons."""
-    w = extract_all(F.lower(text), r"[a-z0-9]+(?:\.[0-9]+)*")
+    w = extract_all(F.lower(text), FEATURE_WORD)
     n = F.greatest(F.size(w) - 1, F.lit(0))
     return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit("::"), b)))
 

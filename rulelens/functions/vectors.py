@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import FEATURE_WORD
+
 
 def normalized(v: Column) -> Column:
     """M2: scaled to unit length in double precision; a zero vector stays as it is."""
@@ -42,33 +48,53 @@ def ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.round(n / F.nullif(d.cast("double"), F.lit(0.0)), 4), F.lit(0.0))
 
 
-def hash_features(dim: int = 768):
-    """M1: a pandas UDF from feature words to a unit vector, by signed hashing with blake2b.
+def _hashing(dim: int, features_of):
+    """A pandas UDF that hashes the features of each row; all it needs is within it, so that it travels whole."""
 
-    No built-in function offers blake2b, hence Arrow batches: the index is the first eight bytes, little-endian, modulo the
-    dimension, and the sign the lowest bit of the ninth.
-    """
-    import hashlib
+    class Slots(dict):
+        """Twice the index of each feature, and one more where its sign is plus; a bounded number of them is remembered."""
 
-    import numpy as np
+        def __missing__(self, feature: str) -> int:
+            h = hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            slot = int.from_bytes(h[:8], "little") % dim * 2 + (h[8] & 1)
+            if len(self) < 200_000:
+                self[feature] = slot
+            return slot
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[int, float]] = {}
+        slots = Slots()
         for batch in parts:
             out = []
-            for features in batch:
-                v = np.zeros(dim, np.float64)
-                for f in features if features is not None else ():
-                    at = known.get(f)
-                    if at is None:
-                        h = hashlib.blake2b(f.encode(), digest_size=16).digest()
-                        at = int.from_bytes(h[:8], "little") % dim, 1.0 if h[8] & 1 else -1.0
-                        if len(known) < 200_000:
-                            known[f] = at
-                    v[at[0]] += at[1]
+            for row in batch:
+                at = np.fromiter(map(slots.__getitem__, features_of(row) if row is not None else ()), np.int64)
+                counts = np.bincount(at, minlength=2 * dim).reshape(dim, 2)
+                v = (counts[:, 1] - counts[:, 0]).astype(np.float64)
                 norm = np.sqrt((v * v).sum())
                 out.append((v / norm if norm else v).astype(np.float32))
             yield pd.Series(out)
 
     return run
+
+
+def hash_features(dim: int = 768):
+    """M1: a pandas UDF from feature words to a unit vector, by signed hashing with blake2b.
+
+    No built-in function offers blake2b, hence Arrow batches: the index is the first eight bytes, little-endian, modulo the
+    dimension, and the sign the lowest bit of the ninth.
+    """
+    return _hashing(dim, lambda features: features)
+
+
+def hash_text(text: Column, dim: int = 768) -> Column:
+    """T10 and M1 of a text at once: ``hash_features(dim)(feature_words(text))`` without an array of words for each row.
+
+    Only the text travels to Python, where the features of one row at a time are cut and counted; null texts have none.
+    """
+    word = re.compile(FEATURE_WORD)
+
+    def features(lowered: str):
+        words = word.findall(lowered)
+        return chain(words, map("::".join, pairwise(words)))
+
+    return _hashing(dim, features)(F.lower(text))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.intents import NUMERIC_PASSAGE, finding_matches
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import feature_words, term_set
-from ..functions.vectors import hash_features
+from ..functions.text import term_set
+from ..functions.vectors import hash_text
 from ..operators import answers as A
 from ..operators import evidence as E
 from ..operators import expansion, retrieval, temporal
@@ -32,7 +32,7 @@ class Corpus:
 
 def embed(df: DataFrame, column: str, dim: int = 768) -> DataFrame:
     """With ``embedding``, hashed from words and pairs; a learnt model takes the same place."""
-    return df.withColumn("embedding", hash_features(dim)(feature_words(F.col(column))))
+    return df.withColumn("embedding", hash_text(F.col(column), dim))
 
 
 def ingest(spark: SparkSession, manual: str, amendments: list[str], index: str, settings: companions.Settings = companions.Settings(), paragraphs: list[str] | None = None) -> dict:

@@ -208,7 +208,7 @@ def vector_topk(spark, sf_dir):
 @query()
 def hash_embedding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", V.hash_features()(T.feature_words(F.col("text"))).alias("embedding"))
+    return docs.select("doc_id", V.hash_text(F.col("text")).alias("embedding"))
 
 
 # --- text (P1-P5, P12, T11-T17, G6) -----------------------------------------------------------------
