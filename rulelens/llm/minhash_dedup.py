@@ -186,8 +186,11 @@ def _cross_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFra
     in blocks of a bounded number of shingles, where each row outside the largest component is compared with all rows, on
     full sets, and only links that join two components leave.
     """
-    counts = members.groupBy("key").agg(F.sum("n_shingles").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    counts = counts.where("lo < hi").select("key", F.ceil(F.col("w") / scheme.block).cast("int").alias("parts"))
+    # like sets meet under many keys: of keys that have the same members, told by 128 bits of hash and their number, one does
+    low, high = F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1)))
+    counts = members.groupBy("key").agg(F.sum("n_shingles").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), low.alias("x"), high.alias("y"))
+    counts = counts.where("lo < hi").groupBy("lo", "hi", "w", "n", "x", "y").agg(F.min("key").alias("key"))
+    counts = counts.select("key", F.ceil(F.col("w") / scheme.block).cast("int").alias("parts"))
     placed = (
         members.join(counts, "key")
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
