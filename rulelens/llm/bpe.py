@@ -181,9 +181,11 @@ class Codec:
         # str.split() also cuts at U+001C to U+001F, which the vocabulary's pattern takes as symbols
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         chunks = [c for c in self.blank.split(text) if c] if odd else text.split()
-        get, make = self.chunks.get, self._chunk
-        found = map(get, chunks)
-        return [make(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        found = list(map(self.chunks.young.get, chunks))
+        if None in found:
+            get, make = self.chunks.get, self._chunk
+            found = [(get(c) or make(c)) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -205,10 +207,10 @@ class Codec:
         if sys.byteorder == "big":
             numbers.byteswap()
         names, size = self.names, len(self.names)
-        if numbers and max(numbers) >= size:
-            numbers = [i for i in numbers if i < size]
-        found = [names[i] for i in numbers]
-        return " ".join([t for t in found if t is not None] if None in found else found)
+        try:
+            return " ".join(map(names.__getitem__, numbers))
+        except (IndexError, TypeError):  # ids that stand for nothing
+            return " ".join([names[i] for i in numbers if i < size and names[i] is not None])
 
 
 def _little(ids: array) -> bytes:
