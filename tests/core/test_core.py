@@ -152,6 +152,15 @@ def test_hash_features_by_the_definition(spark):
     assert np.allclose(got[0].v, v / np.linalg.norm(v), atol=1e-6) and got[1].v == [0.0] * 32
 
 
+def test_hash_text_equals_hashed_feature_words(spark):
+    texts = ["A b 1.2, a b", "", None, "--", "one", "İstanbul KELVIN \u212a 1.2.3 é", "x " * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    both = df.select("i", vectors.hash_text(F.col("t"), 64).alias("v"), vectors.hash_features(64)(text.feature_words(F.col("t"))).alias("w"))
+    rows = both.orderBy("i").collect()
+    assert all(r.v == r.w for r in rows) and rows[1].v == rows[2].v == [0.0] * 64
+    assert both.where("false").count() == 0
+
+
 def test_fusion_keeps_both_sides(spark):
     d = spark.createDataFrame([("q", "a", 0.5, 1), ("q", "b", 0.4, 2)], "qid string, chunk_id string, vector_score double, vector_rank int")
     x = spark.createDataFrame([("q", "b", 1.0, 1), ("q", "c", 0.2, 2)], "qid string, chunk_id string, lexical_score double, lexical_rank int")
