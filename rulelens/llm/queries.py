@@ -6,8 +6,10 @@ import secrets
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontamination, embedding_dedup, license_scan, minhash_dedup, pii, quality, secret_scan, warc
+from . import bpe, chat_format, conversation_repair, decontamination, embedding_dedup, hard_negative_mining, license_scan, minhash_dedup, mixing, pii, quality
+from . import secret_scan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100, against all rows."""
+    vectors = hard_negative_mining.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negative_mining.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.col("targets")[0].alias("target"), F.col("taken")[0].alias("taken"))
+
+
 def queries() -> dict:
     here = vars(sys.modules[__name__])
     found = {k: f for k, f in here.items() if k.startswith("op") and k[2:3].isdigit()}
@@ -101,6 +118,22 @@ dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, unnest(list_tran
 m AS (SELECT dw.doc_id, dw.p, dw.k, iw.item_id FROM dw JOIN iw ON dw.t = iw.t AND dw.k = iw.k), h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op12_hard_negative_mining": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike, list_inner_product(a.x, r.x)::BIGINT AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.x) = len(r.x)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5""",
+    "op13_source_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS rest, (sum(w) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS ws,
+  row_number() OVER b AS place FROM s WINDOW b AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST)),
+l AS (SELECT rest, ws FROM o WHERE 3 * source_size > rest * w / ws ORDER BY place LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least((3 * source_size)::DOUBLE, (SELECT rest FROM l) * w / (SELECT ws FROM l)), (3 * source_size)::DOUBLE) AS target FROM o),
+b AS (SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS whole, round(target)::BIGINT % greatest(source_size, 1) AS left_over FROM t),
+g AS (SELECT source, h, sum(size)::BIGINT AS words, count(*) AS n FROM d GROUP BY source, h), c AS (SELECT *, (sum(words) OVER (PARTITION BY source ORDER BY h) - words)::BIGINT AS before FROM g)
+SELECT doc_id, size, source_size, target, (size * whole + CASE WHEN before + words <= left_over THEN size WHEN before < left_over THEN least(size, (left_over - before) // n) ELSE 0 END)::BIGINT AS taken
+FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.h = d.h""",
 }
 
 
