@@ -39,8 +39,8 @@ def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: float
 
 
 def squash(logit: Column) -> Column:
-    """M6: the logistic of a logit cut to ±20."""
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), logit))))
+    """M6: the logistic of a logit cut to ±20; null for null, which greatest and least would pass over."""
+    return F.when(logit.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), logit)))))
 
 
 def ratio(n: Column, d: Column) -> Column:

@@ -7,6 +7,7 @@ are cut by rank before and after their shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from ..functions.intents import LIST_QUESTION, NUMERIC_PASSAGE, NUMERIC_QUESTION
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import one_edit_apart, policy_ids, raw_tokens, stem, stem_column, term_set, tokenize
 from ..functions.vectors import bm25, clamp, squash
+from .models import Scorer, scored, usable_logits
 
 
 @dataclass(frozen=True)
@@ -229,8 +231,28 @@ def pins_of(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.posexplode(policy_ids(F.col("question"))).alias("pin_pos", "clause_id"))
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), lexicon: Lexicon = DEFAULT, logits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(all candidates, final selection) of questions(qid, question, embedding) over chunks with embeddings."""
+def pairs_to_score(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """X11: (qid, chunk_id, question, passage) of the head of each question's candidates, which alone a cross-encoder sees."""
+    head = ranked(candidates, "fused_score", "pos").where(F.col("pos") <= config.rerank_k).select("qid", "chunk_id")
+    passage = F.concat(F.coalesce("section_title", F.lit("None")), F.lit(". "), "text")
+    return head.join(questions.select("qid", "question"), "qid").join(chunks.select("chunk_id", passage.alias("passage")), "chunk_id")
+
+
+def hybrid(
+    questions: DataFrame,
+    chunks: DataFrame,
+    config: RetrievalConfig = RetrievalConfig(),
+    lexicon: Lexicon = DEFAULT,
+    logits: DataFrame | None = None,
+    scorer: Scorer | None = None,
+    required: bool = False,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame]:
+    """(all candidates, final selection) of questions(qid, question, embedding) over chunks with embeddings.
+
+    A ``scorer`` rescores the head, as ``logits`` of another origin do. Where it fails a question keeps its order, or the job
+    stops if the scorer is ``required``. ``settle`` materialises what a model was asked, so that it is asked once.
+    """
     text = F.coalesce("index_text", "text")
     dense = dense_candidates(questions, chunks, config.dense_k)
     lexical = lexical_candidates(questions, chunks, text, config.lexical_k, lexicon)
@@ -238,6 +260,10 @@ def hybrid(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig = Re
     c = fuse(dense, lexical, config).join(questions.select("qid", "question"), "qid").join(facts, "chunk_id")
     boost = intent_boost(F.col("question"), F.col("text"), F.col("raw_text"), F.col("section_title"), F.col("clause_id"), F.col("section_id"), lexicon)
     c = c.withColumn("fused_score", F.round(F.least(F.lit(1.0), F.col("fused_score") + boost), 9))
+    if scorer is not None:
+        c = settle(c)
+        pairs = pairs_to_score(c, questions, chunks, config)
+        logits = usable_logits(settle(scored(pairs, F.col("question"), F.col("passage"), scorer, required)), required)
     if logits is None:
         c = c.withColumn("reranker_score", F.lit(None).cast("double"))
     else:

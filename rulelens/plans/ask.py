@@ -14,7 +14,7 @@ from ..functions.text import term_set
 from ..functions.vectors import hash_text
 from ..operators import answers as A
 from ..operators import evidence as E
-from ..operators import expansion, retrieval, temporal
+from ..operators import expansion, models, retrieval, temporal
 from ..sources import companions, documents, indexes
 
 
@@ -31,18 +31,30 @@ class Corpus:
 
 
 def embed(df: DataFrame, column: str, dim: int = 768) -> DataFrame:
-    """With ``embedding``, hashed from words and pairs; a learnt model takes the same place."""
+    """M1: with ``embedding``, hashed from words and pairs."""
     return df.withColumn("embedding", hash_text(F.col(column), dim))
 
 
-def ingest(spark: SparkSession, manual: str, amendments: list[str], index: str, settings: companions.Settings = companions.Settings(), paragraphs: list[str] | None = None) -> dict:
-    """Parse, check, embed and save; the manifest of the index."""
+def embed_index(chunks: DataFrame, dim: int, backend: models.Backend | None) -> DataFrame:
+    """(chunk_id, embedding) of index texts; an index is whole or it is none, so a chunk without a vector is an error."""
+    texts = chunks.select("chunk_id", "index_text")
+    if backend is None:
+        return embed(texts, "index_text", dim).select("chunk_id", "embedding")
+    made = settled_table(models.embedded(texts, F.col("index_text"), backend).select("chunk_id", "embedding", "embedding_error"))
+    lost = made.where("embedding is null").agg(F.count(F.lit(1)).alias("n"), F.min("embedding_error").alias("error")).first()
+    if lost["n"]:
+        raise models.ModelUnavailable(f"{backend.name}: {lost['n']} chunks without a vector ({lost['error']})")
+    return made.select("chunk_id", "embedding")
+
+
+def ingest(spark: SparkSession, manual: str, amendments: list[str], index: str, settings: companions.Settings = companions.Settings(), paragraphs: list[str] | None = None, backend: models.Backend | None = None) -> dict:
+    """Parse, check, embed (by hashing, or by ``backend``) and save; the manifest of the index."""
     parts = [documents.parse_manual(documents.read_documents(spark, [manual]))]
     for k, a in enumerate(amendments, 1):
         one = documents.read_documents(spark, [a]).withColumn("document_index", F.lit(k))
         parts.append(documents.parse_amendment(one))
     chunks = documents.index_text(documents.checked(documents.combine(*parts), paragraphs))
-    vectors = embed(chunks.select("chunk_id", "index_text"), "index_text", settings.dimension).select("chunk_id", "embedding")
+    vectors = embed_index(chunks, settings.dimension, backend)
     return indexes.save_index(vectors, chunks, index, indexes.bundle_digest([manual, *amendments]))
 
 
@@ -69,9 +81,12 @@ def settled_table(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = companions.Settings(), lexicon: Lexicon = DEFAULT, trace: bool = False, provider: A.Provider | None = None) -> DataFrame:
+def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = companions.Settings(), lexicon: Lexicon = DEFAULT, trace: bool = False, provider: A.Provider | None = None, backend: models.Backend | None = None, scorer: models.Scorer | None = None, required: bool = False) -> DataFrame:
     """Answers to questions(qid, question[, given_change, given_determination]), all in one plan.
 
+    ``backend`` embeds the questions, as it did the corpus; a question for which it fails is refused, with the error beside it.
+    ``scorer`` rescores what is retrieved; where it fails a question keeps its order, or the job stops if it is ``required``.
+
     Questions that a versioned rule settles leave before retrieval; the rest are retrieved, expanded, graded and decided. A
     language model, if one is given, may veto an answer for lack of coverage, and its wording replaces the quotes only where
     it says nothing that the cited texts do not.
@@ -83,12 +98,19 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     if corpus.rules is not None and corpus.topics:
         settled = temporal.resolve(questions, corpus.rules, list(corpus.topics), settings.today or "2026-06-01")
         rest = questions.join(settled.select("qid"), "qid", "left_anti")
-    asked = embed(rest.select("qid", "question"), "question", settings.dimension)
-    config = retrieval.RetrievalConfig(settings.dense_k, settings.lexical_k, settings.final_k, hashing=settings.hashing)
-    candidates, primary = map(settled_table, retrieval.hybrid(settled_table(asked), chunks, config, lexicon))
+    failed = None
+    if backend is None:
+        asked = settled_table(embed(rest.select("qid", "question"), "question", settings.dimension))
+    else:
+        made = settled_table(models.embedded(rest.select("qid", "question"), F.col("question"), backend, "query"))
+        asked, failed = made.where("embedding is not null").select("qid", "question", "embedding"), made.where("embedding is null")
+        rest = rest.join(asked.select("qid"), "qid", "left_semi")
+    config = retrieval.RetrievalConfig(settings.dense_k, settings.lexical_k, settings.final_k, hashing=settings.hashing and (backend is None or isinstance(backend, models.Hashing)))
+    candidates, primary = map(settled_table, retrieval.hybrid(asked, chunks, config, lexicon, scorer=scorer, required=required, settle=settled_table))
     found = companions.findings_list(corpus.findings)
     context = settled_table(expansion.expand(rest, primary, candidates, chunks, found, settings.final_k, lexicon))
     scores = candidates.select("qid", "chunk_id", "vector_score", "lexical_score", "vector_rank", "lexical_rank")
+    # a clause's score in its context is what it was ranked by, so a reranked one is in it
     retrieved = context.join(scores, ["qid", "chunk_id"], "left").withColumn("fused_score", F.col("score")).withColumn("reranker_score", F.lit(None).cast("double")).drop("score")
 
     kinds = lambda k: corpus.findings.where(F.col("kind") == k)
@@ -121,6 +143,8 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     out = A.build(decided, cited, corpus.contacts).withColumn("path", F.lit("evidence"))
     if provider is not None:
         out = worded(out, context, chunks, provider, lexicon)
+    if failed is not None:
+        out = out.unionByName(unread(failed, cited.where("false"), corpus.contacts).select(*out.columns))
     if settled is not None:
         done = F.col("status") == "resolved"
         sources = corpus.rules.select("rule_id", F.explode(F.concat("target_clause_ids", F.array_compact(F.array("amendment_paragraph_id", "transition_paragraph_id")))).alias("ref"))
@@ -149,6 +173,14 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     return out
 
 
+def unread(failed: DataFrame, cited: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Refusals, citing nothing, of questions(qid, question, embedding_error) that no model could read."""
+    reason = F.lit("The question could not be read by the embedding model.")
+    decided = failed.select("qid", "question", F.lit("REFUSE").alias("decision"), reason.alias("reason"), F.lit("embedding_unavailable").alias("rule"))
+    out = A.build(decided, cited, contacts).drop("error")
+    return out.join(failed.select("qid", F.col("embedding_error").alias("error")), "qid").withColumn("path", F.lit("evidence"))
+
+
 def gated(decided: DataFrame, context: DataFrame, chunks: DataFrame, provider: A.Provider) -> DataFrame:
     """Decisions, answers that the model does not find covered, or on which it gives no proper reply, refused."""
     asked = decided.where("decision = 'ANSWER'").select("qid", "question").join(A.context_json(context, chunks), "qid")
