@@ -1,26 +1,26 @@
-"""Dates in questions (DT1-DT10): mentions, roles and the context that rules are chosen by."""
+"""Dates in questions (DT1-DT10): mentions, roles and the context that rules are chosen by, in built-in functions only."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from datetime import date
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import extract_all
+
+#: Names of months, their short forms, and patterns of dates in order of precedence (fixed values).
 _NAMES = "january february march april may june july august september october november december".split()
 _MONTHS = {n[:3]: i + 1 for i, n in enumerate(_NAMES)} | {n: i + 1 for i, n in enumerate(_NAMES)} | {"sept": 9}
 _MONTH = "|".join(sorted(_MONTHS, key=len, reverse=True))
-#: In order of precedence; an earlier pattern's match keeps later ones off its span.
-_PATTERNS = [
-    ("iso", re.compile(r"\b(?P<y>20\d{2})-(?P<m>\d{1,2})-(?P<d>\d{1,2})\b")),
-    ("day", re.compile(rf"\b(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s+(?P<m>{_MONTH})\.?,?\s+(?P<y>20\d{{2}})\b", re.I)),
-    ("day", re.compile(rf"\b(?P<m>{_MONTH})\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>20\d{{2}})\b", re.I)),
-    ("month", re.compile(rf"\b(?P<m>{_MONTH})\.?\s+(?P<y>20\d{{2}})\b", re.I)),
-    ("slash", re.compile(r"\b(?P<a>\d{1,2})/(?P<b>\d{1,2})/(?P<y>20\d{2})\b")),
+#: Kind, pattern, and which groups hold the day, month and year; of a slash date the first two may be either.
+PATTERNS = [
+    ("iso", r"\b(20[0-9]{2})-([0-9]{1,2})-([0-9]{1,2})\b", (3, 2, 1)),
+    ("day", rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH})\.?,?\s+(20[0-9]{{2}})\b", (1, 2, 3)),
+    ("day", rf"(?i)\b({_MONTH})\.?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+(20[0-9]{{2}})\b", (2, 1, 3)),
+    ("month", rf"(?i)\b({_MONTH})\.?\s+(20[0-9]{{2}})\b", (0, 1, 2)),
+    ("slash", r"\b([0-9]{1,2})/([0-9]{1,2})/(20[0-9]{2})\b", (1, 2, 3)),
 ]
+#: What may stand right before a mention, and how far back it is looked for (fixed values).
+RELATION, BACK = r"(?i)\b(before|after|on|from)\s*$", 18
 #: Cue patterns of the roles and the code points searched on either side of a mention (fixed values).
 CUES = {
     "determination": (r"(?i)\b(determination|determined|decision(?:\s+was)?\s+made|claim\s+(?:date|dated))\b", 55),
@@ -28,49 +28,85 @@ CUES = {
     "awareness": (r"(?i)\b(became aware|was aware|learned|found out|knew|knowledge)\b", 40),
     "period": (r"(?i)\b(period|from|through|until|between|spanning|spans|crosses|covering)\b", 28),
 }
-MENTIONS = "struct<mentions:array<struct<start:int,end:int,value:date,precision:string,relation:string>>,ambiguous:boolean>"
+_MENTION = "struct<start:int,end:int,value:date,precision:string,relation:string>"
+#: How many mentions are appended to one array before another is begun, so that appending stays cheap.
+_STRETCH = 256
+
+
+def _value(kind: str, pattern: str, groups: tuple[int, int, int], found: Column) -> Column:
+    """The date of a match, null where the calendar has no such day; a month stands for its first day."""
+    day, month, year = (F.lit("1") if g == 0 else F.regexp_extract(found, pattern, g) for g in groups)
+    if kind == "slash":
+        # one part above 12 is the day, wherever it stands; none is no reading at all
+        late = day.cast("int") > 12
+        day, month = F.when(late, day).otherwise(month), F.when(late, month).otherwise(day)
+    elif kind != "iso":
+        names = F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair])
+        month = F.element_at(names, F.lower(month)).cast("string")
+    return F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d")
+
+
+def _two_ways(pattern: str, found: Column) -> Column:
+    """DT3: a slash date with both parts up to 12."""
+    return (F.regexp_extract(found, pattern, 1).cast("int") <= 12) & (F.regexp_extract(found, pattern, 2).cast("int") <= 12)
+
+
+def with_mentions(df: DataFrame, text: str) -> DataFrame:
+    """DT2-DT4: ``df`` with ``mentions``, the dates of a text by their start, and ``ambiguous``: a slash date can be read two ways.
+
+    Patterns are tried in order of precedence. What one of them takes as a date is blotted out, character for character, before
+    the next one looks, so no two mentions overlap and places stay what they are; what is no date is left to the others. A
+    match cannot begin within another of its own pattern, so nothing is hidden by what was dropped. Every step is a column of
+    its own and passes over the text a fixed number of times; no row leaves its task. Null texts have no mentions.
+    """
+    out = df.withColumns({"_rest": F.coalesce(F.col(text), F.lit("")), "_mentions": F.array().cast(f"array<{_MENTION}>"), "_two": F.lit(False)})
+    for kind, pattern, groups in PATTERNS:
+        out = out.withColumns({"_found": extract_all(F.col("_rest"), pattern), "_gaps": F.split("_rest", pattern, -1)})
+        out = out.withColumn("_rows", F.transform("_found", _row(kind, pattern, groups)))
+        out = out.withColumn("_cuts", F.transform(F.sequence(F.lit(0), F.greatest(F.size("_rows") - 1, F.lit(0)), F.lit(_STRETCH)), lambda k: F.slice("_rows", k + 1, F.lit(_STRETCH))))
+        out = out.withColumn("_mentions", F.concat("_mentions", _placed("_cuts", "month" if kind == "month" else "day")))
+        if kind == "slash":
+            out = out.withColumn("_two", F.exists("_found", lambda x: _two_ways(pattern, x)))
+        blotted = F.zip_with("_rows", "_found", lambda r, x: F.when(r["value"].isNull(), x).otherwise(F.repeat(F.lit("_"), r["n"])))
+        out = out.withColumn("_rest", F.concat(F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_found")), blotted, lambda g, x: F.concat(g, x)), ""), F.element_at("_gaps", -1)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("mentions", "ambiguous")]
+    return out.select(*kept, F.array_sort("_mentions").alias("mentions"), F.col("_two").alias("ambiguous"))
+
+
+def _row(kind: str, pattern: str, groups: tuple[int, int, int]):
+    """Of a match and its number: how far behind the last one it stands, its length and date, and what leads to it."""
+
+    def of(x: Column, i: Column) -> Column:
+        value = _value(kind, pattern, groups, x)
+        value = F.when(~_two_ways(pattern, x), value) if kind == "slash" else value
+        led = F.right(F.concat(F.when(i > 0, F.get("_found", i - 1)).otherwise(""), F.get("_gaps", i)), F.lit(BACK))
+        return F.struct(F.length(F.get("_gaps", i)).alias("gap"), F.length(x).alias("n"), value.alias("value"), led.alias("led"))
+
+    return of
+
+
+def _placed(cuts: str, precision: str) -> Column:
+    """The mentions among stretches of matches, their places being sums of what goes before."""
+    mentions = f"array<{_MENTION}>"
+
+    def step(acc: Column, r: Column) -> Column:
+        start = acc["at"] + r["gap"]
+        relation = F.nullif(F.replace(F.lower(F.regexp_extract(r["led"], RELATION, 1)), F.lit("from"), F.lit("on")), F.lit(""))
+        one = F.array(F.struct(start.alias("start"), (start + r["n"]).alias("end"), r["value"].alias("value"), F.lit(precision).alias("precision"), relation.alias("relation")))
+        return F.struct((start + r["n"]).alias("at"), F.when(r["value"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def stretch(acc: Column, part: Column) -> Column:
+        own = F.struct(acc["at"].alias("at"), F.array().cast(mentions).alias("out"))
+        return F.aggregate(part, own, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{mentions}>").alias("out"))
+    return F.aggregate(F.col(cuts), first, stretch, lambda a: F.flatten(a["out"]))
 
 
 def scan_dates(question: str | None) -> tuple[list[dict], bool]:
-    """DT2-DT4: the dates of one question, and whether a slash date can be read two ways."""
-    text, out, taken, ambiguous = question or "", [], [], False
-    for kind, pattern in _PATTERNS:
-        for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e in taken):
-                continue
-            g = m.groupdict()
-            year = int(g["y"])
-            if kind == "slash":
-                a, b = int(g["a"]), int(g["b"])
-                if a <= 12 and b <= 12 and a != b:
-                    ambiguous = True
-                    taken.append(m.span())
-                    continue
-                month, day = (b, a) if a > 12 else (a, b)
-            else:
-                month = int(g["m"]) if g["m"].isdigit() else _MONTHS[g["m"].lower()]
-                day = int(g.get("d") or 1)
-            try:
-                value = date(year, month, day)
-            except ValueError:
-                continue
-            taken.append(m.span())
-            before = re.search(r"\b(before|after|on|from)\s*$", text[max(0, m.start() - 18) : m.start()].lower())
-            relation = None if before is None else "on" if before[1] == "from" else before[1]
-            out.append({"start": m.start(), "end": m.end(), "value": value, "precision": "month" if kind == "month" else "day", "relation": relation})
-    return sorted(out, key=lambda x: x["start"]), ambiguous
-
-
-def date_mentions(question: Column) -> Column:
-    """Spans that exclude one another by precedence are no regular language, hence Arrow batches; one call for each question."""
-
-    @F.pandas_udf(MENTIONS)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for questions in parts:
-            found = [scan_dates(q) for q in questions]
-            yield pd.DataFrame({"mentions": [m for m, _ in found], "ambiguous": [a for _, a in found]})
-
-    return run(question)
+    """``with_mentions`` of one question, as a table of one row."""
+    row = with_mentions(SparkSession.builder.getOrCreate().createDataFrame([(question,)], "question string"), "question").first()
+    return [m.asDict() for m in row["mentions"]], row["ambiguous"]
 
 
 def source_date(text: Column) -> Column:
@@ -90,8 +126,8 @@ def date_context(questions: DataFrame) -> DataFrame:
     ``given_change`` and ``given_determination`` may be null; one that contradicts a written date of its role, or comes with
     an ambiguous one, is an error, kept in a column.
     """
-    q = questions.withColumn("found", date_mentions(F.col("question")))
-    m = F.col("found.mentions")
+    q = with_mentions(questions, "question")
+    m = F.col("mentions")
     near = lambda x, r: F.substring(F.col("question"), F.greatest(x["start"] - r, F.lit(0)) + 1, x["end"] + r - F.greatest(x["start"] - r, F.lit(0)))
 
     def of(role: str) -> Column:
@@ -101,8 +137,8 @@ def date_context(questions: DataFrame) -> DataFrame:
     period = F.array_distinct(of("period"))
     q = q.select(
         *questions.columns,
-        m.alias("mentions"),
-        F.col("found.ambiguous").alias("ambiguous"),
+        "mentions",
+        "ambiguous",
         _only(of("determination")).alias("written_determination"),
         _only(of("change")).alias("written_change"),
         _only(of("awareness")).alias("awareness_date"),
