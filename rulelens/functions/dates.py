@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import extract_all
+from .settling import settled_table
+from .text import extract_all, let
 
 #: Names of months, their short forms, and patterns of dates in order of precedence (fixed values).
 _NAMES = "january february march april may june july august september october november december".split()
@@ -51,42 +52,56 @@ def _two_ways(pattern: str, found: Column) -> Column:
     return (F.regexp_extract(found, pattern, 1).cast("int") <= 12) & (F.regexp_extract(found, pattern, 2).cast("int") <= 12)
 
 
-def with_mentions(df: DataFrame, text: str) -> DataFrame:
-    """DT2-DT4: ``df`` with ``mentions``, the dates of a text by their start, and ``ambiguous``: a slash date can be read two ways.
+def found_dates(text: Column) -> Column:
+    """DT2-DT4: (mentions, ambiguous) of a text: its dates by their start, and whether a slash date can be read two ways.
 
     Patterns are tried in order of precedence. What one of them takes as a date is blotted out, character for character, before
     the next one looks, so no two mentions overlap and places stay what they are; what is no date is left to the others. A
-    match cannot begin within another of its own pattern, so nothing is hidden by what was dropped. Every step is a column of
-    its own and passes over the text a fixed number of times; no row leaves its task. Null texts have no mentions.
+    match cannot begin within another of its own pattern, so nothing is hidden by what was dropped. Each pattern passes over
+    the text a fixed number of times, and every intermediate value is bound once. Null texts have no mentions.
     """
-    out = df.withColumns({"_rest": F.coalesce(F.col(text), F.lit("")), "_mentions": F.array().cast(f"array<{_MENTION}>"), "_two": F.lit(False)})
+    state = F.struct(F.coalesce(text, F.lit("")).alias("rest"), F.array().cast(f"array<{_MENTION}>").alias("mentions"), F.lit(False).alias("two"))
     for kind, pattern, groups in PATTERNS:
-        out = out.withColumns({"_found": extract_all(F.col("_rest"), pattern), "_gaps": F.split("_rest", pattern, -1)})
-        out = out.withColumn("_rows", F.transform("_found", _row(kind, pattern, groups)))
-        out = out.withColumn("_cuts", F.transform(F.sequence(F.lit(0), F.greatest(F.size("_rows") - 1, F.lit(0)), F.lit(_STRETCH)), lambda k: F.slice("_rows", k + 1, F.lit(_STRETCH))))
-        out = out.withColumn("_mentions", F.concat("_mentions", _placed("_cuts", "month" if kind == "month" else "day")))
-        if kind == "slash":
-            out = out.withColumn("_two", F.exists("_found", lambda x: _two_ways(pattern, x)))
-        blotted = F.zip_with("_rows", "_found", lambda r, x: F.when(r["value"].isNull(), x).otherwise(F.repeat(F.lit("_"), r["n"])))
-        out = out.withColumn("_rest", F.concat(F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_found")), blotted, lambda g, x: F.concat(g, x)), ""), F.element_at("_gaps", -1)))
+        state = let(state, _blotting(kind, pattern, groups))
+    return let(state, lambda s: F.struct(F.array_sort(s["mentions"]).alias("mentions"), s["two"].alias("ambiguous")))
+
+
+def with_mentions(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``found_dates`` of a column as ``mentions`` and ``ambiguous``; columns of these names give way."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("mentions", "ambiguous")]
-    return out.select(*kept, F.array_sort("_mentions").alias("mentions"), F.col("_two").alias("ambiguous"))
+    return df.select(*kept, found_dates(F.col(text)).alias("_dates")).select(*kept, "_dates.mentions", "_dates.ambiguous")
+
+
+def _blotting(kind: str, pattern: str, groups: tuple[int, int, int]):
+    """The step of one pattern: from what earlier ones left of the text, and their mentions, to what is left after it."""
+
+    def pieces(rest: Column) -> Column:
+        return F.struct(extract_all(rest, pattern).alias("found"), F.split(rest, pattern, -1).alias("gaps"))
+
+    def row(both: Column):
+        def of(x: Column, i: Column) -> Column:
+            value = _value(kind, pattern, groups, x)
+            value = F.when(~_two_ways(pattern, x), value) if kind == "slash" else value
+            led = F.right(F.concat(F.when(i > 0, F.get(both["found"], i - 1)).otherwise(""), F.get(both["gaps"], i)), F.lit(BACK))
+            return F.struct(F.length(F.get(both["gaps"], i)).alias("gap"), F.length(x).alias("n"), value.alias("value"), led.alias("led"))
 
+        return of
 
-def _row(kind: str, pattern: str, groups: tuple[int, int, int]):
-    """Of a match and its number: how far behind the last one it stands, its length and date, and what leads to it."""
+    def rest(both: Column, rows: Column) -> Column:
+        left = F.zip_with(rows, both["found"], lambda r, x: F.when(r["value"].isNull(), x).otherwise(F.repeat(F.lit("_"), r["n"])))
+        lead = F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["found"])), left, lambda g, x: F.concat(g, x))
+        return F.concat(F.array_join(lead, ""), F.element_at(both["gaps"], -1))
 
-    def of(x: Column, i: Column) -> Column:
-        value = _value(kind, pattern, groups, x)
-        value = F.when(~_two_ways(pattern, x), value) if kind == "slash" else value
-        led = F.right(F.concat(F.when(i > 0, F.get("_found", i - 1)).otherwise(""), F.get("_gaps", i)), F.lit(BACK))
-        return F.struct(F.length(F.get("_gaps", i)).alias("gap"), F.length(x).alias("n"), value.alias("value"), led.alias("led"))
+    def after(state: Column, both: Column, rows: Column) -> Column:
+        two = F.exists(both["found"], lambda x: _two_ways(pattern, x)) if kind == "slash" else state["two"]
+        mentions = F.concat(state["mentions"], _placed(rows, "month" if kind == "month" else "day"))
+        return F.struct(rest(both, rows).alias("rest"), mentions.alias("mentions"), two.alias("two"))
 
-    return of
+    return lambda state: let(pieces(state["rest"]), lambda both: let(F.transform(both["found"], row(both)), lambda rows: after(state, both, rows)))
 
 
-def _placed(cuts: str, precision: str) -> Column:
-    """The mentions among stretches of matches, their places being sums of what goes before."""
+def _placed(rows: Column, precision: str) -> Column:
+    """The mentions among matches, their places being sums of what goes before."""
     mentions = f"array<{_MENTION}>"
 
     def step(acc: Column, r: Column) -> Column:
@@ -99,8 +114,9 @@ def _placed(cuts: str, precision: str) -> Column:
         own = F.struct(acc["at"].alias("at"), F.array().cast(mentions).alias("out"))
         return F.aggregate(part, own, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
 
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(_STRETCH)), lambda k: F.slice(rows, k + 1, F.lit(_STRETCH)))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{mentions}>").alias("out"))
-    return F.aggregate(F.col(cuts), first, stretch, lambda a: F.flatten(a["out"]))
+    return F.aggregate(cuts, first, stretch, lambda a: F.flatten(a["out"]))
 
 
 def scan_dates(question: str | None) -> tuple[list[dict], bool]:
@@ -126,7 +142,8 @@ def date_context(questions: DataFrame) -> DataFrame:
     ``given_change`` and ``given_determination`` may be null; one that contradicts a written date of its role, or comes with
     an ambiguous one, is an error, kept in a column.
     """
-    q = with_mentions(questions, "question")
+    # settled, so that no condition on a date is pushed below and the whole search for dates copied into it
+    q = settled_table(with_mentions(questions, "question"))
     m = F.col("mentions")
     near = lambda x, r: F.substring(F.col("question"), F.greatest(x["start"] - r, F.lit(0)) + 1, x["end"] + r - F.greatest(x["start"] - r, F.lit(0)))
 

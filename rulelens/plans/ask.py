@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.intents import NUMERIC_PASSAGE, finding_matches
 from ..functions.lexicon import DEFAULT, Lexicon
+from ..functions.settling import settled_table
 from ..functions.text import term_set
 from ..functions.vectors import hash_text
 from ..operators import answers as A
 from ..operators import evidence as E
-from ..operators import expansion, models, retrieval, temporal
+from ..operators import expansion, models, retrieval, rules, temporal, timelines
 from ..sources import companions, documents, indexes
 
 
@@ -28,6 +28,9 @@ class Corpus:
     rules: DataFrame | None = None
     topics: tuple = ()
     suppressed: DataFrame | None = None
+    #: Cases of the rule evaluator (``rules.CASES``), and the versions of rules with more than one amendment.
+    cases: DataFrame | None = None
+    versions: DataFrame | None = None
 
 
 def embed(df: DataFrame, column: str, dim: int = 768) -> DataFrame:
@@ -71,16 +74,6 @@ def load_corpus(spark: SparkSession, index: str, findings: str, contacts: str, t
     return Corpus(chunks.join(vectors, "chunk_id"), companions.load_findings(spark, findings), companions.load_contacts(spark, contacts), rules, tuple(topics))
 
 
-def settled_table(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder that the cluster names, so that later steps reread it instead of planning it anew."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
-            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulelens-"))
-    return df.checkpoint(eager=True)
-
-
 def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = companions.Settings(), lexicon: Lexicon = DEFAULT, trace: bool = False, provider: A.Provider | None = None, backend: models.Backend | None = None, scorer: models.Scorer | None = None, required: bool = False) -> DataFrame:
     """Answers to questions(qid, question[, given_change, given_determination]), all in one plan.
 
@@ -96,7 +89,12 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
     settled = None
     rest = questions
     if corpus.rules is not None and corpus.topics:
-        settled = temporal.resolve(questions, corpus.rules, list(corpus.topics), settings.today or "2026-06-01")
+        today = settings.today or "2026-06-01"
+        if corpus.cases is None:
+            settled = temporal.resolve(questions, corpus.rules, list(corpus.topics), today)
+        else:
+            versions = corpus.versions if corpus.versions is not None else timelines.from_two(corpus.rules)
+            settled = settled_table(rules.evaluate(questions, list(corpus.topics), corpus.cases, versions, today))
         rest = questions.join(settled.select("qid"), "qid", "left_anti")
     failed = None
     if backend is None:
@@ -150,6 +148,11 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
         sources = corpus.rules.select("rule_id", F.explode(F.concat("target_clause_ids", F.array_compact(F.array("amendment_paragraph_id", "transition_paragraph_id")))).alias("ref"))
         refs = chunks.select(A.citation().alias("citation"), F.explode(F.array_compact(F.array("clause_id", F.split("source_locator", ":")[1]))).alias("ref"), "source_order")
         quotes = sources.join(refs, "ref").groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("source_order", "citation"))), lambda x: x["citation"]).alias("citations"))
+        if corpus.cases is not None:
+            worked = settled.select("*", F.when(F.col("status") != "resolved", F.concat(F.lit(A.UNKNOWN + " "), "answer")).otherwise(F.col("answer")).alias("said"))
+            asks = F.when(F.col("status") == "missing_fact", F.col("answer"))
+            told = [F.col("said").alias("answer"), "citations", "reason", F.concat(F.lit("temporal:"), "topic").alias("rule"), asks.alias("next_step"), F.col("date_error").alias("error"), F.lit("temporal").alias("path")]
+            return _traced(out.unionByName(worked.join(quotes, "rule_id", "left").select("qid", "question", "decision", *told)), retrieved, chunks, trace)
         rule_answers = settled.join(quotes, "rule_id", "left").select(
             "qid",
             "question",
@@ -166,11 +169,16 @@ def ask(questions: DataFrame, corpus: Corpus, settings: companions.Settings = co
             F.lit("temporal").alias("path"),
         )
         out = out.unionByName(rule_answers)
-    if trace:
-        seen = retrieved.join(chunks.select("chunk_id", "clause_id", "source_locator"), "chunk_id")
-        seen = seen.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "clause_id", "source_locator", "fused_score", "neighbor_of"))).alias("retrieved"))
-        out = out.join(seen, "qid", "left")
-    return out
+    return _traced(out, retrieved, chunks, trace)
+
+
+def _traced(out: DataFrame, retrieved: DataFrame, chunks: DataFrame, trace: bool) -> DataFrame:
+    """Answers, with what was retrieved for each of them if it is asked for."""
+    if not trace:
+        return out
+    seen = retrieved.join(chunks.select("chunk_id", "clause_id", "source_locator"), "chunk_id")
+    seen = seen.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "clause_id", "source_locator", "fused_score", "neighbor_of"))).alias("retrieved"))
+    return out.join(seen, "qid", "left")
 
 
 def unread(failed: DataFrame, cited: DataFrame, contacts: DataFrame) -> DataFrame:
