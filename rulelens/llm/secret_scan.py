@@ -40,15 +40,17 @@ ORDER = ["assign", "access", "hex", "linked_name", "linked_secret", "linked_endp
 def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Code-point spans of the leftmost non-overlapping matches whose ``group`` has ``least`` characters or more."""
     p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    sized = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(
-        F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda x: F.length(x).cast("long")).alias("g"),
-        F.transform(found, lambda x: F.length(x).cast("long")).alias("m"),
-        F.transform(sized, lambda x: F.length(x).cast("long")).alias("s"),
+    size = lambda x: F.length(x).cast("long")
+    found = F.transform(F.regexp_extract_all(text, p, F.lit(0)), size)
+    sized = F.transform(F.regexp_extract_all(text, p, F.lit(group)), size) if group else None
+    gaps = F.transform(F.split(text, pattern, -1), size)
+    # one gap more than there are matches, and its size is not asked for
+    rows = F.filter(
+        F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), sized, lambda r, s: F.struct(r["g"].alias("g"), r["m"].alias("m"), s.alias("s")))
+        if group
+        else F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"), m.alias("s"))),
+        lambda r: r["m"].isNotNull(),
     )
-    rows = F.transform(rows, lambda r: F.struct(r["g"].alias("g"), r["m"].alias("m"), r["s"].alias("s")))
 
     def step(acc: Column, r: Column) -> Column:
         start = acc["at"] + r["g"]
@@ -63,7 +65,13 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
         return F.aggregate(part, own, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
 
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(stretches(rows), first, stretch, lambda a: F.flatten(a["out"]))).otherwise(F.array().cast(_SPANS))
+    whole = let(rows, lambda r: F.aggregate(stretches(r), first, stretch, lambda a: F.flatten(a["out"])))
+    return F.when(text.rlike(pattern), whole).otherwise(F.array().cast(_SPANS))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a function over an array, a plain expression is computed for each element."""
+    return F.transform(F.array(value), use)[0]
 
 
 #: How many rows of a text a pass appends to one array before it starts another, so that appending stays cheap.
@@ -71,7 +79,7 @@ STRETCH = 256
 
 
 def stretches(rows: Column) -> Column:
-    """An array cut into arrays of at most ``STRETCH``; one empty array for an empty one."""
+    """A bound array cut into arrays of at most ``STRETCH``; one empty array for an empty one."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(STRETCH)), lambda k: F.slice(rows, k + 1, F.lit(STRETCH)))
 
 
@@ -91,7 +99,7 @@ def _pass(parts: str, forwards: bool, reach: int) -> str:
     mark = "p.`end`" if forwards else "p.start"
     wider = "greatest" if forwards else "least"
     over = "p.start < acc.b" if forwards else "acc.b < p.`end`"
-    rows = parts if forwards else f"reverse({parts})"
+    rows = parts  # a column: the parts, or the reversed parts
     keep = lambda c, kinds: f"case when p.kind = {_BREAK} then {far} when p.kind in ({kinds}) then {wider}(coalesce(acc.{c}, {mark}), {mark}) else acc.{c} end as {c}"
     base = f"case when p.kind in ({_BASE}, {_ACCESS}) then {wider}(coalesce(acc.b, {mark}), {mark}) else acc.b end as b"
     seen = f"struct(coalesce({gap('n')}, false) as n, coalesce({gap('s')}, false) as s, coalesce({over}, false) as b)"
@@ -126,7 +134,8 @@ def _scanned(docs: DataFrame, reach: int) -> DataFrame:
         )
     )
     linked = base.withColumn("_parts", F.when(named & armed, parts).otherwise(F.array().cast(f"array<{_PART}>")))
-    seen = F.arrays_zip("_parts", F.expr(_pass("_parts", True, reach)).alias("f"), F.expr(_pass("_parts", False, reach)).alias("w"))
+    linked = linked.withColumn("_back", F.reverse("_parts"))
+    seen = F.arrays_zip("_parts", F.expr(_pass("_parts", True, reach)).alias("f"), F.expr(_pass("_back", False, reach)).alias("w"))
     linked = linked.withColumn("_seen", seen)
 
     def reported(kind: int, needs) -> Column:
@@ -185,23 +194,25 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 400) -> DataFra
     text = F.col("row.text")
     every = F.array_sort(F.concat(*[F.col(f"found.{k}") for k in ORDER]))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-        )
-
     empty = F.array().cast("array<string>")
 
+    def step(piece: Column, base: Column):
+        # places are looked up in the stretch's own piece, as finding one takes a walk from the beginning
+        def of(acc: Column, s: Column) -> Column:
+            gap = F.substring(piece, (acc["at"] - base).cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+            more = F.concat(acc["out"], F.array(gap, F.lit(mark)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+        return of
+
     def stretch(acc: Column, part: Column) -> Column:
+        reach_ = F.array_max(F.transform(part, lambda s: s["end"])) - acc["at"]
         joined = lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(a["out"], ""))).alias("out"))
-        return F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step, joined)
+        own = F.struct(acc["at"].alias("at"), empty.alias("out"))
+        return let(F.substring(text, acc["at"].cast("int") + 1, reach_.cast("int")), lambda piece: F.aggregate(part, own, step(piece, acc["at"]), joined))
 
     first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    whole = F.aggregate(
-        stretches(every), first, stretch, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text)))
-    )
-    clean = F.when(F.size(every) > 0, whole).otherwise(text)
+    joined_up = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"].cast("int") + 1, F.length(text)))
+    whole = let(every, lambda spans_: F.when(F.size(spans_) > 0, F.aggregate(stretches(spans_), first, stretch, joined_up)))
+    clean = F.coalesce(whole, text)
     return found.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
