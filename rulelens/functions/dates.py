@@ -97,7 +97,11 @@ def _blotting(kind: str, pattern: str, groups: tuple[int, int, int]):
         mentions = F.concat(state["mentions"], _placed(rows, "month" if kind == "month" else "day"))
         return F.struct(rest(both, rows).alias("rest"), mentions.alias("mentions"), two.alias("two"))
 
-    return lambda state: let(pieces(state["rest"]), lambda both: let(F.transform(both["found"], row(both)), lambda rows: after(state, both, rows)))
+    def step(state: Column) -> Column:
+        cut = let(pieces(state["rest"]), lambda both: let(F.transform(both["found"], row(both)), lambda rows: after(state, both, rows)))
+        return F.when(state["rest"].rlike(pattern), cut).otherwise(state)  # most texts are looked through once and not cut
+
+    return step
 
 
 def _placed(rows: Column, precision: str) -> Column:
