@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intents import NUMERIC_QUESTION, lookup_ids, next_step_key
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import NUMBER, SECTION_REF, extract_all, term_set, words
+from ..functions.text import NUMBER, SECTION_REF, extract_all, let, term_set, words
 
 CITED = "chunk_id document_id document_name document_version source_kind section_id section_title clause_id locator_kind source_locator page line_start line_end start_offset end_offset text".split()
 SAFE_KEYS = "qid decision rule reason best_score n_retrieved n_cited version elapsed_ms".split()
@@ -34,35 +34,57 @@ SAME_SECTION, UNSEEN, NUMERIC_FIT = 0.30, 0.04, 0.28
 CARRIED = 0.58
 
 
-def _overlap(wanted: set, subject: set, held: set) -> float:
+def _overlap(aspect: Column, held: Column) -> Column:
     """The share of an aspect's terms that a chunk has, those that are no question words counting 0.7."""
-    whole = len(wanted & held) / max(1, len(wanted))
-    return 0.70 * len(subject & held) / len(subject) + 0.30 * whole if subject else whole
-
-
-def _chosen(rows: list[dict], aspects: list[dict], lookups: set, exception: bool) -> list[int]:
-    """The rows, in retrieval order, that an answer cites."""
-    asked = [i for i, r in enumerate(rows) if r["clause_id"] in lookups]
-    if asked:
-        return sorted(asked, key=lambda i: rows[i]["source_order"])
-    picks: dict[int, None] = {}
-    best = lambda key: max(range(len(rows)), key=key)
-    for aspect in aspects:
-        sections = {rows[i]["section_id"] for i in picks}
-        fit = [_overlap(aspect["wide"], aspect["subject"], r["doc_terms"]) for r in rows]
-        gain = [f + SAME_SECTION * (r["section_id"] in sections) + UNSEEN * (i not in picks) + NUMERIC_FIT * (aspect["numeric"] and r["numeric"]) for i, (f, r) in enumerate(zip(fit, rows, strict=True))]
-        i = best(lambda i: (gain[i], rows[i]["score"], rows[i]["ranking_score"]))
-        if fit[i] > 0:
-            picks[i] = None
-    if not aspects:
-        picks[best(lambda i: (rows[i]["score"], rows[i]["ranking_score"]))] = None
-    strong = [i for i, r in enumerate(rows) if r["score"] >= CARRIED]
-    if exception:
-        sections = {rows[i]["section_id"] for i in picks}
-        picks |= dict.fromkeys(i for i in strong if rows[i]["section_id"] in sections)
-    named = {ref for i in picks for ref in rows[i]["cross_references"]}
-    picks |= dict.fromkeys(i for i in strong if rows[i]["clause_id"] in named or rows[i]["section_id"] in named)
-    return list(picks or {best(lambda i: rows[i]["score"]): None})[:LIMIT]
+    share = lambda terms: F.size(F.array_intersect(terms, held)) / F.greatest(F.lit(1), F.size(terms))
+    subject = 0.70 * F.size(F.array_intersect(aspect["subject"], held)) / F.greatest(F.lit(1), F.size(aspect["subject"]))
+    return F.when(F.size(aspect["subject"]) > 0, subject + 0.30 * share(aspect["wide"])).otherwise(share(aspect["wide"]))
+
+
+def _first_of(rows: Column, key, also=lambda r: []) -> Column:
+    """Of the row whose key(row, number) is greatest, the first one of equals: its number ``i``, from 0, and what ``also`` says of it."""
+    return F.array_max(F.transform(rows, lambda r, i: F.struct(*key(r, i), (-i).alias("least"), i.alias("i"), *also(r))))
+
+
+def _best_for(rows: Column, picks: Column, aspect: Column) -> Column:
+    """What an aspect adds to the picks: the row of most value for it, if it has any of its terms."""
+    sections = F.transform(picks, lambda i: F.get(rows, i)["section_id"])
+    plus = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), F.lit(v)).otherwise(F.lit(0.0))
+
+    def key(r: Column, i: Column) -> list[Column]:
+        fit = _overlap(aspect, r["doc_terms"])
+        gain = fit + plus(F.exists(sections, lambda s: s.eqNullSafe(r["section_id"])), SAME_SECTION) + plus(~F.array_contains(picks, i), UNSEEN) + plus(aspect["numeric"] & r["numeric"], NUMERIC_FIT)
+        return [gain.alias("gain"), r["score"].alias("score"), r["ranking_score"].alias("ranking")]
+
+    best = _first_of(rows, key, lambda r: [_overlap(aspect, r["doc_terms"]).alias("fit")])
+    return let(best, lambda x: F.when(x["fit"] > 0, F.array_union(picks, F.array(x["i"]))).otherwise(picks))
+
+
+def _carried(rows: Column, picks: Column, cond) -> Column:
+    """The picks, and after them the strong rows for which cond(row) holds."""
+    strong = F.filter(F.transform(rows, lambda r, i: F.when((r["score"] >= CARRIED) & F.coalesce(cond(r), F.lit(False)), i)), lambda i: i.isNotNull())
+    return F.array_union(picks, strong)
+
+
+def chosen_rows(rows: Column, aspects: Column, lookups: Column, exception: Column) -> Column:
+    """The numbers, from 0, of the rows that an answer cites; ``rows`` are the direct chunks of one question, in order.
+
+    The state of the fold is the picks so far; an aspect's gain depends on them, so aspects come one after the other.
+    """
+    none = F.array().cast("array<int>")
+    by_score = lambda r, i: [r["score"].alias("score"), r["ranking_score"].alias("ranking")]
+    asked = F.transform(
+        F.array_sort(F.filter(F.transform(rows, lambda r, i: F.struct(r["source_order"].alias("o"), i.alias("i"), F.array_contains(lookups, r["clause_id"]).alias("hit"))), lambda x: x["hit"])), lambda x: x["i"]
+    )
+    told = F.aggregate(aspects, none, lambda picks, a: _best_for(rows, picks, a))
+    first = F.when(F.size(aspects) > 0, told).otherwise(F.array(_first_of(rows, by_score)["i"]))
+    sections = lambda picks: F.transform(picks, lambda i: F.get(rows, i)["section_id"])
+    widened = lambda picks: F.when(exception, _carried(rows, picks, lambda r: F.exists(sections(picks), lambda s: s.eqNullSafe(r["section_id"])))).otherwise(picks)
+    named = lambda picks: F.flatten(F.transform(picks, lambda i: F.coalesce(F.get(rows, i)["cross_references"], F.array().cast("array<string>"))))
+    followed = lambda picks: let(named(picks), lambda refs: _carried(rows, picks, lambda r: F.array_contains(refs, r["clause_id"]) | F.array_contains(refs, r["section_id"])))
+    alone = lambda picks: F.when(F.size(picks) > 0, picks).otherwise(F.array(_first_of(rows, lambda r, i: [r["score"].alias("score")])["i"]))
+    whole = let(let(first, widened), lambda picks: F.slice(alone(followed(picks)), F.lit(1), F.lit(LIMIT)))
+    return let(asked, lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
 
 def sources_by_aspect(direct: DataFrame, parts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -71,25 +93,18 @@ def sources_by_aspect(direct: DataFrame, parts: DataFrame, lexicon: Lexicon = DE
     A clause that is merely looked up is the answer; else each aspect in turn picks the chunk of most value, exceptions bring
     in the chosen sections, and references of the chosen what they name, up to six. ``direct`` are (qid, chunk_id, clause_id,
     section_id, cross_references, source_order, pos, score, ranking_score, doc_terms, numeric), ``parts`` (qid, question,
-    aspects). A pick counts for later ones, so the choice is sequential and runs grouped; a group is the dozen direct chunks
-    of one question.
+    aspects). The rows of a question are gathered into one array, which its context bounds to a dozen.
     """
     wide = F.transform("aspects", lambda a: F.struct(term_set(a, True, lexicon).alias("wide"), a.rlike(NUMERIC_QUESTION).alias("numeric")))
     told = F.transform(wide, lambda a: F.struct(a["wide"].alias("wide"), F.array_except(a["wide"], words(lexicon.intent)).alias("subject"), a["numeric"].alias("numeric")))
-    asked = parts.select("qid", told.alias("told"), lookup_ids(F.col("question")).alias("lookups"), F.contains(F.lower("question"), F.lit("exception")).alias("exception"))
-    rows = direct.join(asked, "qid", "left")
-    kind = direct.schema["qid"].dataType.simpleString()
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        held = lambda x: set() if x is None else set(x)
-        rows = [{**r, "doc_terms": held(r["doc_terms"]), "cross_references": held(r["cross_references"])} for r in pdf.to_dict("records")]
-        one = rows[0]
-        aspects = [{"wide": set(a["wide"]), "subject": set(a["subject"]), "numeric": a["numeric"]} for a in (one["told"] if one["told"] is not None else ())]
-        chosen = _chosen(rows, aspects, held(one["lookups"]), bool(one["exception"]))
-        return pd.DataFrame({"qid": one["qid"], "chunk_id": [rows[i]["chunk_id"] for i in chosen], "pick": range(1, len(chosen) + 1)})
-
-    return rows.groupBy("qid").applyInPandas(pick, f"qid {kind}, chunk_id string, pick int")
+    kind = "array<struct<wide:array<string>,subject:array<string>,numeric:boolean>>"
+    asked = parts.select("qid", F.coalesce(told, F.array().cast(kind)).alias("told"), lookup_ids(F.col("question")).alias("lookups"), F.contains(F.lower("question"), F.lit("exception")).alias("exception"))
+    row = F.struct("pos", "chunk_id", "clause_id", "section_id", "cross_references", "source_order", "score", "ranking_score", F.coalesce("doc_terms", F.array().cast("array<string>")).alias("doc_terms"), "numeric")
+    gathered = direct.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(asked, "qid", "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    chosen = chosen_rows(F.col("rows"), none("told", kind), none("lookups", "array<string>"), F.coalesce("exception", F.lit(False)))
+    picked = gathered.select("qid", F.posexplode(F.transform(chosen, lambda i: F.get("rows", i)["chunk_id"])).alias("at", "chunk_id"))
+    return picked.select("qid", "chunk_id", (F.col("at") + 1).alias("pick"))
 
 
 def build(decisions: DataFrame, cited: DataFrame, contacts: DataFrame) -> DataFrame:
