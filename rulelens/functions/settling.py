@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -15,3 +16,16 @@ def settled_table(df: DataFrame) -> DataFrame:
             raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulelens-"))
     return df.checkpoint(eager=True)
+
+
+def written_table(df: DataFrame) -> DataFrame:
+    """``settled_table`` as Parquet beside the checkpoints: for large tables, which take a fraction of the room in columns."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        settled_table(df.limit(0))  # names a folder, or refuses
+        folder = sc.getCheckpointDir()
+    place = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)

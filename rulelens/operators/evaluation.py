@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.settling import settled_table
 from ..functions.text import NUMBER, SECTION_REF, extract_all
 from ..functions.vectors import ratio
 
@@ -186,6 +187,42 @@ def latency(column: str) -> list[Column]:
     return [F.avg(column).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max(column).alias("max")]
 
 
+def nearest_ranks(values: DataFrame, by: list[str], column: str, quantiles: list[float], parts: int = 32, rounds: int = 64) -> DataFrame:
+    """M8 for groups of any size: (by, quantile, n, value), the value of rank ceil(quantile * n), exactly.
+
+    ``latency`` holds a group's distinct values in one buffer; here a group and quantile hold a sketch of ``parts`` cuts and as many
+    counters. Each round takes cuts of about equal counts from a sketch, counts the values between them exactly, and goes on
+    with the part in which the rank falls, until its least and greatest value are one. Values equal to either end are parts of
+    their own, so ties end a search and never hold it up. Sketches and counts are partial before their shuffle, and a
+    round reads only values within its ranges. Nulls and NaN are left out; a group without values has no row.
+    """
+    every = F.array(*[F.lit(float(q)) for q in quantiles])
+    x = values.select(*by, F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    spans = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).withColumn("quantile", F.explode(every))
+    spans = settled_table(spans.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("quantile") * F.col("n"))).cast("long")))
+    own = [*by, "quantile"]
+
+    def within(ranges: DataFrame) -> DataFrame:
+        named = ranges.withColumnsRenamed({k: f"_{k}" for k in by})
+        return x.join(named, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.col("x").between(F.col("low"), F.col("high"))])
+
+    for _ in range(rounds):
+        open_ = spans.where("low < high")
+        if open_.isEmpty():
+            break
+        cuts = within(open_).groupBy(*own, "n", "rank", "low", "high").agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 1000).alias("cuts"))
+        below = F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+        part = F.when(F.col("x") == F.col("low"), -1).when(F.col("x") == F.col("high"), parts).otherwise(below)
+        counted = within(settled_table(cuts)).groupBy(*own, "n", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("low"), F.max("x").alias("high"))
+        upto = F.sum("m").over(Window.partitionBy(*own).orderBy("part"))
+        held = counted.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank")))
+        held = held.select(*by, "n", "low", "high", "quantile", (F.col("rank") - F.col("upto") + F.col("m")).alias("rank"))
+        spans = settled_table(spans.where("low = high").unionByName(held))
+    else:
+        raise RuntimeError("ranks did not settle")
+    return spans.select(*by, "quantile", "n", F.col("low").alias("value"))
+
+
 def confusion(scored: DataFrame) -> DataFrame:
     """Expected by actual decisions, errors included, absent cells zero."""
     return scored.groupBy("expected_decision").pivot("actual_decision", [*STATES, "ERROR"]).agg(F.count(F.lit(1))).na.fill(0)

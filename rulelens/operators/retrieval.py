@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intents import LIST_QUESTION, NUMERIC_PASSAGE, NUMERIC_QUESTION
 from ..functions.lexicon import DEFAULT, Lexicon
+from ..functions.settling import written_table
 from ..functions.text import one_edit_apart, policy_ids, raw_tokens, stem, stem_column, term_set, tokenize
 from ..functions.vectors import bm25, clamp, squash
 from .models import Scorer, scored, usable_logits
@@ -35,6 +36,10 @@ class RetrievalConfig:
     hashing: bool = True
 
 
+#: Up to so many candidates are broadcast to the texts that they are of; each is a row of two keys, six numbers and a question.
+FEW = 20_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where its files give fewer parts, as dear work on each row would leave the others idle.
 
@@ -95,8 +100,11 @@ def top_k(scores: DataFrame, k: int, score: str = "score", tie: str = "source_or
 
 
 def lexical_candidates(questions: DataFrame, chunks: DataFrame, text: Column, k: int, lexicon: Lexicon = DEFAULT, vocabulary_fix: bool = True) -> DataFrame:
-    """(qid, chunk_id, lexical_score, lexical_rank), scores over each question's best; R3: no terms, no rows."""
-    post = postings(chunks, text, lexicon=lexicon)
+    """(qid, chunk_id, lexical_score, lexical_rank), scores over each question's best; R3: no terms, no rows.
+
+    The postings are written once: lengths, vocabulary, frequencies and scores read them, and none cuts the texts anew.
+    """
+    post = written_table(postings(chunks, text, lexicon=lexicon))
     dl = lengths(chunks, text, lexicon=lexicon, post=post)
     terms = questions.select("qid", F.explode(term_set(F.col("question"), True, lexicon)).alias("tok"))
     if vocabulary_fix:
@@ -247,17 +255,21 @@ def hybrid(
     scorer: Scorer | None = None,
     required: bool = False,
     settle: Callable[[DataFrame], DataFrame] = lambda df: df,
+    vectors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(all candidates, final selection) of questions(qid, question, embedding) over chunks with embeddings.
 
-    A ``scorer`` rescores the head, as ``logits`` of another origin do. Where it fails a question keeps its order, or the job
+    Embeddings may come apart, as ``vectors(chunk_id, embedding)``, so that texts need not be dealt to them. A ``scorer`` rescores the head, as ``logits`` of another origin do. Where it fails a question keeps its order, or the job
     stops if the scorer is ``required``. ``settle`` materialises what a model was asked, so that it is asked once.
     """
     text = F.coalesce("index_text", "text")
-    dense = dense_candidates(questions, chunks, config.dense_k)
+    dense = dense_candidates(questions, chunks if vectors is None else chunks.select("chunk_id", "source_order").join(vectors, "chunk_id"), config.dense_k)
     lexical = lexical_candidates(questions, chunks, text, config.lexical_k, lexicon)
     facts = chunks.select("chunk_id", "text", "raw_text", "section_title", "clause_id", "section_id", "source_order")
-    c = fuse(dense, lexical, config).join(questions.select("qid", "question"), "qid").join(facts, "chunk_id")
+    c = fuse(dense, lexical, config).join(questions.select("qid", "question"), "qid")
+    # so many candidates at most: where they are few they go to the texts, and the texts stay where they are
+    few = questions.count() * (config.dense_k + config.lexical_k) <= FEW
+    c = facts.join(F.broadcast(settle(c)), "chunk_id") if few else c.join(facts, "chunk_id")
     boost = intent_boost(F.col("question"), F.col("text"), F.col("raw_text"), F.col("section_title"), F.col("clause_id"), F.col("section_id"), lexicon)
     c = c.withColumn("fused_score", F.round(F.least(F.lit(1.0), F.col("fused_score") + boost), 9))
     if scorer is not None:

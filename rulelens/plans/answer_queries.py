@@ -1,12 +1,12 @@
-"""Registered queries of how answers are put together (W13, W14), each beside SQL."""
+"""Registered queries of how answers are put together and timed (W13, W14, M8), each beside SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT
-from ..operators import answers
-from .catalog import _list, query
+from ..operators import answers, evaluation
+from .catalog import _list, query, table
 from .engine_queries import _made, _sql, _terms_sql
 
 #: Five direct clauses for each order, their sections, terms, references and scores by arithmetic on its key.
@@ -47,3 +47,13 @@ def source_picks(spark, sf_dir):
     """The clauses that each answer cites, one pick after the other."""
     out = answers.sources_by_aspect(_made(spark, sf_dir, DIRECT), _made(spark, sf_dir, PARTS))
     return out.select("qid", "chunk_id", F.col("pick").cast("long").alias("pick"))
+
+
+@query(
+    """WITH g AS (SELECT event_type, value * (1 + user_id % 7) AS x FROM events), p AS (SELECT * FROM (VALUES (0e0), (0.01e0), (0.5e0), (0.95e0), (1e0)) v(quantile)), r AS (SELECT event_type, x, row_number() OVER (PARTITION BY event_type ORDER BY x) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM g WHERE x IS NOT NULL)
+SELECT event_type, quantile, n, round(x, 6) AS value FROM r JOIN p ON k = greatest(1, ceil(quantile * n))"""
+)
+def exact_percentiles(spark, sf_dir):
+    """M8 without a buffer of values."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("value") * (1 + F.col("user_id") % 7)).alias("x"))
+    return evaluation.nearest_ranks(e, ["event_type"], "x", [0.0, 0.01, 0.5, 0.95, 1.0]).withColumn("value", F.round("value", 6))

@@ -98,11 +98,12 @@ def _sides(spark, sf_dir):
     many = e.count()
     asked = _made(spark, sf_dir, ASKED)
     with_vector = lambda df, at: df.withColumn("vec_id", at % many).join(e, "vec_id").drop("vec_id")
-    return with_vector(asked, F.col("qid") * 7), with_vector(clauses, F.col("chunk_id"))
+    return with_vector(asked, F.col("qid") * 7), clauses, with_vector(clauses.select("chunk_id"), F.col("chunk_id"))
 
 
 def _hybrid(spark, sf_dir):
-    return retrieval.hybrid(*_sides(spark, sf_dir), scorer=PassageLength(), settle=settled_table)
+    questions, clauses, vectors = _sides(spark, sf_dir)
+    return retrieval.hybrid(questions, clauses, scorer=PassageLength(), settle=settled_table, vectors=vectors)
 
 
 @query(f"WITH {_FUSED} SELECT qid, chunk_id AS doc_id, vector_rank, lexical_rank, round(fused, 6) AS fused, round(reranked, 6) AS reranked FROM rr")
