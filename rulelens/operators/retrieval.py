@@ -40,6 +40,10 @@ class RetrievalConfig:
 FEW = 20_000
 
 
+#: Up to so many (question, term) pairs are broadcast to the postings; a distinct term's frequency comes along.
+FEW_TERMS = 200_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where its files give fewer parts, as dear work on each row would leave the others idle.
 
@@ -84,13 +88,16 @@ def collection_stats(dl: DataFrame) -> DataFrame:
 def bm25_scores(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str = "chunk_id", places: int = 9) -> DataFrame:
     """(qid, chunk, score) for distinct query terms(qid, tok); rounding makes sums in any order one value.
 
-    Only postings of query terms survive the semi-join, before frequencies are counted or lengths joined. The statistics are
-    one row, broadcast as such.
+    Only postings of query terms go on. Where the terms are few they and their frequencies are broadcast, so postings are dealt
+    once, by document, to meet lengths, and are summed where they are. The statistics are one row, broadcast as such.
     """
-    needed = post.join(terms.select("tok").distinct(), "tok", "left_semi")
-    weighed = needed.join(document_frequency(needed), "tok").join(dl, key).join(F.broadcast(collection_stats(dl)))
+    terms = terms.distinct()
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    needed = post.join(small(terms.select("tok").distinct()), "tok", "left_semi")
+    weighed = needed.join(small(document_frequency(needed)), "tok").join(dl, key).join(F.broadcast(collection_stats(dl)))
     part = weighed.select(key, "tok", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("part"))
-    return part.join(terms.distinct(), "tok").groupBy("qid", key).agg(F.round(F.sum("part"), places).alias("score")).where("score > 0")
+    return part.join(small(terms), "tok").groupBy("qid", key).agg(F.round(F.sum("part"), places).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", tie: str = "source_order", rank: str = "rank") -> DataFrame:
