@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intents import LIST_QUESTION, NUMERIC_PASSAGE, NUMERIC_QUESTION
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.settling import written_table
+from ..functions.settling import settled_table, written_table
 from ..functions.text import one_edit_apart, policy_ids, raw_tokens, stem, stem_column, term_set, tokenize
 from ..functions.vectors import bm25, clamp, squash
 from .models import Scorer, scored, usable_logits
@@ -44,6 +44,10 @@ FEW = 20_000
 FEW_TERMS = 200_000
 
 
+#: Words of more letters are compared by thirds, as their left-out strings would be as many as their letters.
+LONG_WORD = 40
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where its files give fewer parts, as dear work on each row would leave the others idle.
 
@@ -123,21 +127,41 @@ def lexical_candidates(questions: DataFrame, chunks: DataFrame, text: Column, k:
     return best.select("qid", "chunk_id", (F.col("score") / top).alias("lexical_score"), "lexical_rank")
 
 
+def edit_keys(word: Column, reach: tuple[int, ...] = (0,)) -> Column:
+    """Hashes under which two words meet that have the same first letter and are an edit or a swap of neighbours apart.
+
+    Up to ``LONG_WORD`` letters these are the word and each string with one letter left out, but for the first: words an
+    insertion apart meet under the shorter one, words a letter or a swap apart under what is left without it. Longer words
+    would make as many strings as they have letters, so they meet under their first or last third, one of which an edit
+    leaves alone; a third depends on the length, and ``reach`` gives the lengths to be met.
+    """
+    n = F.length(word)
+    left_out = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
+    short = F.transform(F.array_distinct(F.concat(F.array(word), left_out)), lambda s: F.xxhash64(s))
+    third = lambda d: F.floor((n + d) / 3).cast("int")
+    thirds = [F.xxhash64(F.lit(side), n + d, piece) for d in reach for side, piece in (("first", F.substring(word, F.lit(1), third(d))), ("last", F.substring(word, n - third(d) + 1, third(d))))]
+    # a word one letter longer than a short one is long: at that seam words carry the keys of both kinds
+    return F.when(n < LONG_WORD, short).when(n <= LONG_WORD + 1, F.concat(short, F.array(*thirds))).otherwise(F.array(*thirds))
+
+
 def corrections(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(qid, tok, correction) of unknown terms that one word alone of the vocabulary is an edit away from.
 
-    Candidates meet by first letter and length, not by a cross join.
+    Distinct roots meet words under strings with one letter left out (``edit_keys``), so only near words share a key however
+    large the vocabulary; a pair that shares several is compared once. Few keys are broadcast, and words stay where they are.
     """
     unknown = (
         terms.withColumn("root", stem(F.col("tok")))
         .where((F.length("root") >= 5) & ~F.replace(F.col("root"), F.lit("."), F.lit("")).rlike("^[0-9]+$"))
         .join(vocabulary.select(F.col("tok").alias("root")), "root", "left_anti")
-        .withColumn("block", F.substring("root", 1, 1))
-        .withColumn("len", F.explode(F.array(*[F.length("root") + d for d in (-1, 0, 1)])))
     )
-    words_ = vocabulary.select(F.col("tok").alias("word"), F.substring("tok", 1, 1).alias("block"), F.length("tok").alias("len"))
-    near = unknown.join(words_, ["block", "len"]).where(one_edit_apart(F.col("root"), F.col("word")))
-    return near.groupBy("qid", "tok").agg(F.count_distinct("word").alias("n"), F.min("word").alias("correction")).where("n = 1").drop("n")
+    unknown = settled_table(unknown.select("qid", "tok", "root").distinct())
+    keys = unknown.select("root").distinct().select("root", F.explode(edit_keys(F.col("root"), (-1, 0, 1))).alias("key"))
+    few = keys.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    words_ = vocabulary.select(F.col("tok").alias("word")).where("length(word) >= 4").select("word", F.explode(edit_keys(F.col("word"))).alias("key"))
+    met = words_.join(F.broadcast(keys) if few else keys, "key").where(F.substring("root", 1, 1) == F.substring("word", 1, 1)).select("root", "word").distinct()
+    near = met.where(one_edit_apart(F.col("root"), F.col("word"))).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("correction")).where("n = 1")
+    return unknown.join(near, "root").select("qid", "tok", "correction")
 
 
 def dense_candidates(questions: DataFrame, chunks: DataFrame, k: int, places: int = 9, cell_rows: int = 8192, block_rows: int = 1024) -> DataFrame:

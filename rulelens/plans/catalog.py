@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.intents import MODALITY, NUMERIC_PASSAGE, is_underspecified, next_step_key
 from ..functions.lexicon import DEFAULT
+from ..functions.settling import written_table
 from ..operators import evaluation, retrieval, temporal
 from .ask import settled_table
 
@@ -183,7 +184,7 @@ n AS (SELECT qid, us.tok, v.tok AS word FROM us JOIN v ON substr(v.tok, 1, 1) =
 SELECT qid, tok, min(word) AS correction FROM n GROUP BY qid, tok HAVING count(DISTINCT word) = 1"""
 )
 def fuzzy_unique_correction(spark, sf_dir):
-    vocab = stemmed_vocab(spark, sf_dir)
+    vocab = written_table(stemmed_vocab(spark, sf_dir))
     t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.term_set(F.col("text"))).alias("t")).where("length(t) >= 6")
     swapped = F.expr("substr(t, 1, length(t) - 2) || substr(t, length(t), 1) || substr(t, length(t) - 1, 1)")
     return retrieval.corrections(t.select("qid", swapped.alias("tok")).distinct(), vocab)
