@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.settling import settled_table
 from ..functions.text import NUMBER, SECTION_REF, extract_all
 from ..functions.vectors import ratio
+from .groups import components, packed
 
 STATES = ["ANSWER", "CONFLICT", "REFUSE"]
 CHECKS = ["trace", "decision", "retrieval", "citation_recall", "citation_integrity", "facts", "forbidden_claims", "grounding", "refusal_contract", "unsupported_claim_safety"]
@@ -378,25 +379,22 @@ def folds(cases: DataFrame, seed: int = 42, n: int = 2) -> DataFrame:
     return cases.withColumn("fold", F.pmod(F.xxhash64("case_id", F.lit(seed)), F.lit(n)).cast("int"))
 
 
+def case_groups(gold: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """(case_id, lead) of cases that hang together by the clauses of gold(case_id, clause); ``cases`` adds those without any."""
+    gold = settled_table(gold.where("case_id is not null and clause is not null").select("case_id", "clause").distinct())
+    least = gold.groupBy("clause").agg(F.min("case_id").alias("b"))
+    edges = gold.join(least, "clause").select(F.col("case_id").alias("a"), "b")
+    return components((gold if cases is None else cases).select(F.col("case_id").alias("node")), edges).withColumnRenamed("node", "case_id")
+
+
 def disjoint_folds(cases: DataFrame, seed: int = 42, n: int = 2) -> DataFrame:
     """cases(case_id, expected_evidence_clause_ids) with a stable fold, cases that share a gold clause in one fold.
 
-    Cases that hang together by clauses take the least case id among them, which spreads by one clause a round; cases are
-    reviewed by people, so rounds are few and the table small.
+    Groups are packed so that folds hold evenly many cases; a case without an id has no fold and is left out.
     """
-    gold = cases.select("case_id", F.explode("expected_evidence_clause_ids").alias("clause"))
-    names = cases.select("case_id", F.col("case_id").alias("lead"))
-    before = None
-    while True:
-        by = names.join(gold, "case_id").groupBy("clause").agg(F.min("lead").alias("low"))
-        low = gold.join(by, "clause").groupBy("case_id").agg(F.min("low").alias("low"))
-        names = names.join(low, "case_id", "left").select("case_id", F.least("lead", F.coalesce("low", "lead")).alias("lead")).checkpoint()
-        after = names.agg(F.sum(F.xxhash64("case_id", "lead").cast("decimal(38,0)"))).first()[0]
-        if after == before:
-            break
-        before = after
-    fold = F.pmod(F.xxhash64("lead", F.lit(seed)), F.lit(n)).cast("int")
-    return cases.join(names.select("case_id", fold.alias("fold")), "case_id")
+    leads = case_groups(cases.select("case_id", F.explode("expected_evidence_clause_ids").alias("clause")), cases)
+    sizes = leads.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
+    return cases.join(leads.join(packed(sizes, n, seed), "lead").select("case_id", "fold"), "case_id")
 
 
 def fold_overlap(train: DataFrame, held_out: DataFrame) -> DataFrame:

@@ -57,3 +57,27 @@ def exact_percentiles(spark, sf_dir):
     """M8 without a buffer of values."""
     e = table(spark, sf_dir, "events").select("event_type", (F.col("value") * (1 + F.col("user_id") % 7)).alias("x"))
     return evaluation.nearest_ranks(e, ["event_type"], "x", [0.0, 0.01, 0.5, 0.95, 1.0]).withColumn("value", F.round("value", 6))
+
+
+_FOLD_ORDER = "list_transform(list_sort(list_transform(range(1, 6), lambda i: struct_pack(l := loads[i], f := i - 1))), lambda z: z.f)"
+
+
+@query(
+    f"""WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT l_orderkey AS case_id, l_partkey || '/' || floor(date_diff('day', DATE '1990-01-01', l_shipdate::DATE) / 7e0)::BIGINT AS clause FROM lineitem),
+e AS MATERIALIZED (SELECT DISTINCT x.case_id AS a, y.case_id AS b FROM g x JOIN g y USING (clause) WHERE x.case_id <> y.case_id),
+r AS (SELECT DISTINCT case_id, case_id AS lead FROM g UNION SELECT e.b, r.lead FROM r JOIN e ON e.a = r.case_id),
+m AS MATERIALIZED (SELECT case_id, min(lead) AS lead FROM r GROUP BY case_id),
+s AS MATERIALIZED (SELECT lead, count(*) AS size, md5('42:' || lead) AS key FROM m GROUP BY lead),
+k AS MATERIALIZED (SELECT size, count(*) AS held, row_number() OVER (ORDER BY size DESC) AS step FROM s GROUP BY size),
+p AS (SELECT 0::BIGINT AS step, [0, 0, 0, 0, 0]::BIGINT[] AS loads, []::BIGINT[] AS due UNION ALL
+  SELECT k.step, list_transform(range(1, 6), lambda i: (loads[i] + size * (held // 5 + CASE WHEN list_position({_FOLD_ORDER}, i - 1) <= held % 5 THEN 1 ELSE 0 END))::BIGINT), {_FOLD_ORDER} FROM p JOIN k ON k.step = p.step + 1),
+n AS (SELECT s.*, held, due, row_number() OVER (PARTITION BY size ORDER BY key, lead) - 1 AS nth FROM s JOIN k USING (size) JOIN p USING (step))
+SELECT case_id, lead, size, CASE WHEN nth < held - held % 5 THEN nth % 5 ELSE due[nth - (held - held % 5) + 1] END AS fold FROM m JOIN n USING (lead)"""
+)
+def clause_disjoint_folds(spark, sf_dir):
+    """Orders as cases, whose clauses are parts by week of shipping, in five evenly full folds that share no clause."""
+    week = F.floor(F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")) / 7).cast("string")
+    gold = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("/", F.col("l_partkey").cast("string"), week).alias("clause"))
+    leads = evaluation.case_groups(gold)
+    fold = evaluation.packed(leads.groupBy("lead").agg(F.count(F.lit(1)).alias("size")), 5, 42)
+    return leads.join(fold, "lead").select("case_id", "lead", "size", F.col("fold").cast("long").alias("fold"))
