@@ -60,10 +60,11 @@ def spread(df: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """G1: (chunk, token, tf).
 
-    Tokens are exploded as they stand and counted; stop words and stems are then plain columns over distinct tokens of a
-    chunk, inside generated code, instead of functions over arrays.
+    Texts are dealt once, by chunk, and every later count is by chunk and something more, so it finds its rows where they are:
+    tokens are never shuffled. They are exploded as they stand and counted; stop words and stems are then plain columns over
+    distinct tokens of a chunk, inside generated code, instead of functions over arrays.
     """
-    raw = spread(chunks.select(key, text.alias("text"))).select(key, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
+    raw = chunks.select(key, text.alias("text")).repartition(key).select(key, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
     stemmed = raw.select(key, "raw", "n", stem_column(F.col("raw")).alias("tok"))
     if lexicon.stop_words:
         stop = sorted(lexicon.stop_words)
