@@ -120,8 +120,9 @@ def lexical_candidates(questions: DataFrame, chunks: DataFrame, text: Column, k:
     dl = lengths(chunks, text, lexicon=lexicon, post=post)
     terms = questions.select("qid", F.explode(term_set(F.col("question"), True, lexicon)).alias("tok"))
     if vocabulary_fix:
-        fixed = corrections(terms.select("qid", "tok"), post.select("tok").distinct())
-        terms = terms.unionByName(fixed.select("qid", F.col("correction").alias("tok")))
+        fixed = corrections(terms.select("qid", "tok"), written_table(post.select("tok").distinct()))
+        # scoring reads the terms several times; settled, they do not meet the vocabulary anew each time
+        terms = settled_table(terms.unionByName(fixed.select("qid", F.col("correction").alias("tok"))))
     scored = bm25_scores(terms, post, dl).join(chunks.select("chunk_id", "source_order"), "chunk_id")
     best = top_k(scored, k, rank="lexical_rank")
     top = F.max("score").over(Window.partitionBy("qid"))
