@@ -11,17 +11,19 @@ encoded each; other columns are ignored. Each worker keeps a memory of chunks it
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import ship
 
@@ -30,19 +32,37 @@ _NONE = 1 << 62
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
-def _of_category(initial: str, last: int) -> str:
-    """The inside of a character class: the code points to ``last`` of a general category, from Python's Unicode tables."""
+#: Where later Unicode versions may add letters and digits: planes 0 to 3, and the start of plane 14; no others are planned.
+_OPEN = (range(0x40000), range(0xE0000, 0xE0200))
+
+
+@functools.cache
+def _later(initial: str) -> frozenset[int]:
+    """Code points that Python's Unicode tables do not know and the library's count to a general category."""
+    unknown = "".join(chr(p) for part in _OPEN for p in part if unicodedata.category(chr(p)) == "Cn")
+    found = pre_tokenizers.Split(Regex(f"\\p{{{initial}}}+"), "removed", invert=True).pre_tokenize_str(unknown)
+    return frozenset(ord(c) for piece, _ in found for c in piece)
+
+
+def _runs(last: int, inside: Callable[[int], bool]) -> str:
+    """The inside of a character class: the code points to ``last`` that are ``inside``."""
     runs, start = [], None
     for point in range(last + 2):
-        inside = point <= last and unicodedata.category(chr(point))[0] == initial
-        if inside and start is None:
+        within = point <= last and inside(point)
+        if within and start is None:
             start = point
-        elif not inside and start is not None:
+        elif not within and start is not None:
             runs.append(f"\\U{start:08x}-\\U{point - 1:08x}")
             start = None
     return "".join(runs)
 
 
+def _of_category(initial: str, last: int) -> str:
+    """The code points to ``last`` of a general category: by Python's Unicode tables, and by the library's where those end."""
+    later = _later(initial)
+    return _runs(last, lambda p: unicodedata.category(chr(p))[0] == initial or p in later)
+
+
 def piece_pattern(last: int) -> re.Pattern:
     """The piece pattern of the vocabulary file (a fixed value) for texts of code points to ``last``.
 
@@ -152,6 +172,10 @@ class Codec:
         self.names = [names.get(i) for i in range(max(names, default=-1) + 1)]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.narrow, self.wide = piece_pattern(0xFFFF).findall, piece_pattern(0x10FFFF).findall
+        # what Python's tables do not know is brought to NFC and lower case by the library's
+        unknown = lambda last: re.compile(f"[{_runs(last, lambda p: unicodedata.category(chr(p)) == 'Cn')}]").search
+        self.narrow_unknown, self.wide_unknown = unknown(0xFFFF), unknown(0x10FFFF)
+        self.form = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.blank = re.compile(f"[{_SPACE}]+")
         self.chunks, self.pieces = Memory(_CHUNKS), Memory(_PIECES)
 
@@ -167,9 +191,13 @@ class Codec:
             self.pieces.put(piece, out)
         return out
 
+    def _folded(self, chunk: str) -> str:
+        if (self.narrow_unknown if max(chunk) <= "\uffff" else self.wide_unknown)(chunk):
+            return self.form(chunk)
+        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+
     def _chunk(self, chunk: str) -> bytes:
-        folded = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        folded = folded.lower()
+        folded = chunk.lower() if chunk.isascii() else self._folded(chunk)
         pieces = self.narrow(folded) if folded.isascii() or max(folded) <= "\uffff" else self.wide(folded)
         parts = [self._piece(p) for p in pieces]
         out = parts[0] if len(parts) == 1 else b"".join(parts)
