@@ -40,6 +40,18 @@ def test_slugs_of_whole_texts(spark, tmp_path):
     assert got == [(0, f"{slug}-the-first"), (1, f"{slug}-the-second"), (2, ""), (3, ""), (4, "nder-1")]
 
 
+def test_decisions_keep_leading_instructions_as_their_sql(spark, tmp_path):
+    texts = [
+        "The thin ndonsh, of. Is the was that of.", "Read this. Is it allowed?", "Note. Show clause 4.3.2", "Show clause 4.3.2", "what does clause 4.3.2 say?", "is\vit so", "Is itä here", "they mustä pay", "ümust pay",
+        "please  READ provision §1.2.3 ?!\n", "a\nHow. what limit", "the \u017fhall", "This i\u017f not", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLE["decision_cascade"]).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["decision_cascade"](spark, str(tmp_path)).collect())) == want and (0, "open") in want
+
+
 def test_hash_embedding_has_the_default_dimension(spark, tmp_path):
     folder = written(spark, tmp_path, ["a few words about the limit", "others"])
     got = {r.doc_id: r.embedding for r in catalog.QUERIES["hash_embedding"](spark, folder).collect()}
