@@ -44,6 +44,10 @@ FEW = 20_000
 FEW_TERMS = 200_000
 
 
+#: So many bytes of text are cut into tokens by one task.
+TEXT_A_PART = 12 << 20
+
+
 #: Words of more letters are compared by thirds, as their left-out strings would be as many as their letters.
 LONG_WORD = 40
 
@@ -57,6 +61,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt_texts(texts: DataFrame, key: str) -> DataFrame:
+    """texts(key, text) dealt by ``key`` into as many parts as their bytes ask for.
+
+    A task then holds the tokens of about ``TEXT_A_PART`` bytes of text however large the table is; left to itself Spark sizes parts by
+    their compressed bytes, of which tokens in memory are some fifty times.
+    """
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_A_PART)), key)
+
+
 def postings(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """G1: (chunk, token, tf).
 
@@ -64,7 +78,7 @@ def postings(chunks: DataFrame, text: Column, key: str = "chunk_id", lexicon: Le
     tokens are never shuffled. They are exploded as they stand and counted; stop words and stems are then plain columns over
     distinct tokens of a chunk, inside generated code, instead of functions over arrays.
     """
-    raw = chunks.select(key, text.alias("text")).repartition(key).select(key, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
+    raw = dealt_texts(chunks.select(key, text.alias("text")), key).select(key, F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy(key, "raw").agg(F.count(F.lit(1)).alias("n"))
     stemmed = raw.select(key, "raw", "n", stem_column(F.col("raw")).alias("tok"))
     if lexicon.stop_words:
         stop = sorted(lexicon.stop_words)

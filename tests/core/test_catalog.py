@@ -3,6 +3,7 @@
 import duckdb
 from rulelens.functions import text as T
 from rulelens.functions import vectors as V
+from rulelens.operators import retrieval
 from rulelens.plans import catalog
 from rulelens.sources import companions
 
@@ -52,6 +53,15 @@ def test_decisions_keep_leading_instructions_as_their_sql(spark, tmp_path):
     assert sorted(map(tuple, catalog.QUERIES["decision_cascade"](spark, str(tmp_path)).collect())) == want and (0, "open") in want
 
 
+def test_postings_are_dealt_by_bytes_of_text(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, f"word{k % 3} " * 200) for k in range(40)], "chunk_id long, text string")
+    usual = sorted(map(tuple, retrieval.postings(texts, texts.text).collect()))
+    monkeypatch.setattr(retrieval, "TEXT_A_PART", 2_000)
+    small = retrieval.postings(texts, texts.text)
+    assert small.rdd.getNumPartitions() == 24 and sorted(map(tuple, small.collect())) == usual
+    assert retrieval.postings(texts.limit(0), texts.text).count() == 0
+
+
 def test_hash_embedding_has_the_default_dimension(spark, tmp_path):
     folder = written(spark, tmp_path, ["a few words about the limit", "others"])
     got = {r.doc_id: r.embedding for r in catalog.QUERIES["hash_embedding"](spark, folder).collect()}
