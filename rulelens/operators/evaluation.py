@@ -15,6 +15,8 @@ from .groups import components, packed
 STATES = ["ANSWER", "CONFLICT", "REFUSE"]
 CHECKS = ["trace", "decision", "retrieval", "citation_recall", "citation_integrity", "facts", "forbidden_claims", "grounding", "refusal_contract", "unsupported_claim_safety"]
 EMPTY = "array<string>"
+#: Rows whose folded texts a Python worker holds at once.
+FOLDED_AT_ONCE = 1000
 
 
 def plain(text: Column) -> Column:
@@ -44,19 +46,23 @@ def folded(text: Column) -> Column:
     return _folded(one)(text)
 
 
-def folded_each(texts: Column) -> Column:
-    """``folded`` of every text of an array."""
+def folded_lists(lists: Column) -> Column:
+    """``folded`` of every text of an array of arrays, so that one Python worker a task folds all that a row has."""
     import re
     import unicodedata
 
     import pandas as pd
 
+    def one(t):
+        return None if t is None else " ".join(re.sub("[‐‑‒–—−]", "-", unicodedata.normalize("NFKC", t).casefold()).split())
+
     def run(parts):
         for rows in parts:
-            yield rows.map(lambda ts: None if ts is None else [None if t is None else " ".join(re.sub("[‐‑‒–—−]", "-", unicodedata.normalize("NFKC", t).casefold()).split()) for t in ts])
+            for at in range(0, len(rows), FOLDED_AT_ONCE):
+                yield rows.iloc[at : at + FOLDED_AT_ONCE].map(lambda row: None if row is None else [None if ts is None else [one(t) for t in ts] for ts in row])
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, EMPTY)(texts)
+    return F.pandas_udf(run, "array<array<string>>")(lists)
 
 
 def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -74,7 +80,9 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
             r = r.withColumn(c, none)
     arr = lambda c: F.coalesce(F.col(c), none)
     distinct = lambda c: F.array_distinct(arr(c))
-    r = r.withColumns({"_answer": F.coalesce(folded(F.col("answer")), F.lit("")), **{f"_{c}": folded_each(distinct(c)) for c in ("expected_facts", "forbidden_claims", "excerpts")}})
+    texts = ("expected_facts", "forbidden_claims", "excerpts")
+    r = r.withColumn("_all", folded_lists(F.array(F.array("answer"), *[distinct(c) for c in texts])))
+    r = r.withColumns({"_answer": F.coalesce(F.col("_all")[0][0], F.lit("")), **{f"_{c}": F.col("_all")[i] for i, c in enumerate(texts, 1)}}).drop("_all")
     answer = F.col("_answer")
     # texts beside their folded forms, those that the answer holds or lacks
     split = lambda c, held: F.transform(F.filter(F.arrays_zip(distinct(c).alias("t"), F.col(f"_{c}").alias("f")), lambda x: F.contains(answer, x["f"]) == held), lambda x: x["t"])

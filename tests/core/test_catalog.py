@@ -3,7 +3,7 @@
 import duckdb
 from rulelens.functions import text as T
 from rulelens.functions import vectors as V
-from rulelens.operators import retrieval
+from rulelens.operators import evaluation, retrieval
 from rulelens.plans import catalog
 from rulelens.sources import companions
 
@@ -62,6 +62,18 @@ def test_postings_are_dealt_by_bytes_of_text(spark, monkeypatch):
     assert retrieval.postings(texts.limit(0), texts.text).count() == 0
 
 
+def test_cases_are_folded_by_one_worker_a_task(spark):
+    kinds = "id string, expected_decision string, expected_clause_ids array<string>, expected_evidence_clause_ids array<string>, expected_facts array<string>, forbidden_claims array<string>"
+    cases = spark.createDataFrame([(str(k), "ANSWER", ["1.1"], ["1.1"], ["ＲＥＮＴ", None] if k == 1 else ["RENT  due"], ["Straße"]) for k in range(4)], kinds)
+    found = "id string, decision string, answer string, next_step string, trace_decision string, retrieved array<string>, cited array<string>, excerpts array<string>, elapsed_ms double"
+    row = lambda k, answer, excerpts: (k, "ANSWER", answer, "", "ANSWER", ["1.1"], ["1.1"], excerpts, 1.0)
+    results = spark.createDataFrame([row("0", "The rent   due", ["THE RENT"]), row("1", "rent STRASSE", []), row("2", None, None)], found)
+    scored = evaluation.score_cases(cases, results)
+    got = {r.id: (r.missing_facts, r.forbidden_found, r.checks.grounding) for r in scored.collect()}
+    assert got["0"] == ([], [], True) and got["1"] == ([], ["Straße"], True) and got["2"][0] == ["RENT  due"] and got["3"][2] is False
+    assert scored._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_hash_embedding_has_the_default_dimension(spark, tmp_path):
     folder = written(spark, tmp_path, ["a few words about the limit", "others"])
     got = {r.doc_id: r.embedding for r in catalog.QUERIES["hash_embedding"](spark, folder).collect()}
