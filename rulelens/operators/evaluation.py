@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.settling import settled_table
+from ..functions.settling import narrow_rows, parts_for, settled_table
 from ..functions.text import NUMBER, SECTION_REF, extract_all
 from ..functions.vectors import ratio
-from .groups import components, packed
+from .groups import components, in_folds
 
 STATES = ["ANSWER", "CONFLICT", "REFUSE"]
 CHECKS = ["trace", "decision", "retrieval", "citation_recall", "citation_integrity", "facts", "forbidden_claims", "grounding", "refusal_contract", "unsupported_claim_safety"]
@@ -389,9 +389,12 @@ def folds(cases: DataFrame, seed: int = 42, n: int = 2) -> DataFrame:
 
 def case_groups(gold: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """(case_id, lead) of cases that hang together by the clauses of gold(case_id, clause); ``cases`` adds those without any."""
-    gold = settled_table(gold.where("case_id is not null and clause is not null").select("case_id", "clause").distinct())
-    least = gold.groupBy("clause").agg(F.min("case_id").alias("b"))
-    edges = gold.join(least, "clause").select(F.col("case_id").alias("a"), "b")
+    gold = gold.where("case_id is not null and clause is not null").select("case_id", "clause")
+    parts = parts_for(gold, gold.count())
+    with narrow_rows(gold.sparkSession, parts):
+        gold = settled_table(gold.repartition(parts, "case_id", "clause").distinct())
+        least = gold.groupBy("clause").agg(F.min("case_id").alias("b"))
+        edges = settled_table(gold.join(least, "clause").select(F.col("case_id").alias("a"), "b").where("a <> b"))
     return components((gold if cases is None else cases).select(F.col("case_id").alias("node")), edges).withColumnRenamed("node", "case_id")
 
 
@@ -401,8 +404,7 @@ def disjoint_folds(cases: DataFrame, seed: int = 42, n: int = 2) -> DataFrame:
     Groups are packed so that folds hold evenly many cases; a case without an id has no fold and is left out.
     """
     leads = case_groups(cases.select("case_id", F.explode("expected_evidence_clause_ids").alias("clause")), cases)
-    sizes = leads.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
-    return cases.join(leads.join(packed(sizes, n, seed), "lead").select("case_id", "fold"), "case_id")
+    return cases.join(in_folds(leads, n, seed).select("case_id", "fold"), "case_id")
 
 
 def fold_overlap(train: DataFrame, held_out: DataFrame) -> DataFrame:

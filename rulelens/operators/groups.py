@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.settling import settled_table
+from ..functions.settling import narrow_rows, parts_for, settled_table
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -14,9 +14,15 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
     Every node points to another, at first itself. In a round a node and the one it points to learn the least grandparent of
     the node's neighbours, and all pointers are then doubled, so paths halve and rounds grow with the logarithm of the longest
     one. A round is two joins and two aggregations, combined before their shuffle, and is settled; what the driver sees is one
-    number. A lead that many nodes point to is the small side of a join whose large side adaptive execution splits.
+    number. A lead that many nodes point to is the small side of a join whose large side adaptive execution splits. Parts
+    follow the number of rows (``narrow_rows``), so a task holds no more of a larger table.
     Null nodes and edges with a null are left out, repeats and loops change nothing.
     """
+    with narrow_rows(nodes.sparkSession, parts_for(nodes, nodes.count())):
+        return _settled_components(nodes, edges, rounds)
+
+
+def _settled_components(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b")
     e = settled_table(e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = settled_table(nodes.where("node is not null").select("node").distinct().select("node", F.col("node").alias("up"), F.col("node").alias("top")))
@@ -48,7 +54,8 @@ def packed(groups: DataFrame, n: int, seed: int) -> DataFrame:
         order.append((size, held, least))
         for place, f in enumerate(least):
             loads[f] += size * (held // n + (place < held % n))
-    table = groups.sparkSession.createDataFrame(order, "size long, held_all long, least array<int>")
+    # one row a size: dealt by size, the many groups of one or two members would all meet it in one task
+    table = F.broadcast(groups.sparkSession.createDataFrame(order, "size long, held_all long, least array<int>"))
     before = F.sum("held").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     nth = F.col("before") + F.row_number().over(Window.partitionBy("size", "bucket").orderBy("key", "lead")) - 1
@@ -56,3 +63,10 @@ def packed(groups: DataFrame, n: int, seed: int) -> DataFrame:
     even = F.col("held_all") - F.col("held_all") % n
     fold = F.when(F.col("nth") < even, F.col("nth") % n).otherwise(F.get("least", (F.col("nth") - even).cast("int")))
     return placed.select("lead", "size", fold.cast("int").alias("fold"))
+
+
+def in_folds(leads: DataFrame, n: int, seed: int) -> DataFrame:
+    """leads(…, lead) with each group's ``size`` and ``fold`` of ``packed``, settled."""
+    with narrow_rows(leads.sparkSession, parts_for(leads, leads.count())):
+        sizes = settled_table(leads.groupBy("lead").agg(F.count(F.lit(1)).alias("size")))
+        return settled_table(leads.join(packed(sizes, n, seed), "lead"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT
-from ..operators import answers, evaluation
+from ..operators import answers, evaluation, groups
 from .catalog import _list, query, table
 from .engine_queries import _made, _sql, _terms_sql
 
@@ -78,6 +78,4 @@ def clause_disjoint_folds(spark, sf_dir):
     """Orders as cases, whose clauses are parts by week of shipping, in five evenly full folds that share no clause."""
     week = F.floor(F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")) / 7).cast("string")
     gold = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("/", F.col("l_partkey").cast("string"), week).alias("clause"))
-    leads = evaluation.case_groups(gold)
-    fold = evaluation.packed(leads.groupBy("lead").agg(F.count(F.lit(1)).alias("size")), 5, 42)
-    return leads.join(fold, "lead").select("case_id", "lead", "size", F.col("fold").cast("long").alias("fold"))
+    return groups.in_folds(evaluation.case_groups(gold), 5, 42).select("case_id", "lead", "size", F.col("fold").cast("long").alias("fold"))

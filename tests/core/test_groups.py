@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from rulelens.functions import settling
 from rulelens.functions import text as T
 from rulelens.operators import evaluation, groups, retrieval
 
@@ -78,3 +79,23 @@ def test_corrections_equal_a_comparison_of_all_pairs(spark):
     got = retrieval.corrections(asked, words)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 60
     assert any(len(r.tok) > 38 for r in got.collect())
+
+
+def test_parts_of_groups_follow_their_rows(spark, monkeypatch):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    usual, seen, real = [spark.conf.get(k) for k in keys], [], groups.settled_table
+    monkeypatch.setattr(settling, "ROWS_A_PART", 100)
+    monkeypatch.setattr(groups, "settled_table", lambda df: seen.append([spark.conf.get(k) for k in keys]) or real(df))
+    cases = spark.range(3000).selectExpr("id as case_id", "cast(id div 3 as string) as clause")
+    leads = evaluation.case_groups(cases)
+    assert seen and all(x == ["30", "4m"] for x in seen)
+    got = groups.in_folds(leads, 5, 1)
+    assert got.count() == 3000 and got.where("size <> 3 or lead <> case_id - case_id % 3").isEmpty()
+    assert {x[1] for x in seen} == {"4m"} and [spark.conf.get(k) for k in keys] == usual
+
+
+def test_many_groups_of_one_size_are_not_dealt_by_size(spark):
+    sizes = spark.range(500).selectExpr("id as lead", "1 + id % 2 as size")
+    plan = groups.packed(sizes, 5, 1)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line and "bucket" not in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
