@@ -48,6 +48,10 @@ def ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.round(n / F.nullif(d.cast("double"), F.lit(0.0)), 4), F.lit(0.0))
 
 
+#: Rows whose vectors a Python worker holds at once.
+PIECE = 512
+
+
 def _hashing(dim: int, features_of):
     """A pandas UDF that hashes the features of each row; all it needs is within it, so that it travels whole."""
 
@@ -64,7 +68,8 @@ def _hashing(dim: int, features_of):
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         slots = Slots()
-        for batch in parts:
+        # vectors leave in pieces, so that a worker never holds those of a whole batch
+        for batch in (whole.iloc[i : i + PIECE] for whole in parts for i in range(0, len(whole), PIECE)):
             out = []
             for row in batch:
                 at = np.fromiter(map(slots.__getitem__, features_of(row) if row is not None else ()), np.int64)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hash_text
+from ..functions.vectors import PIECE, hash_text
 from .shipping import ship
 
 
@@ -209,7 +209,9 @@ def embedded(df: DataFrame, text: Column, model: Backend, kind: str = "passage",
         calls = None
         for texts in parts:
             calls = calls or Calls(model.open(kind), check, retry)
-            yield _sent(texts, texts.notna() & (texts.fillna("").str.strip() != ""), calls, "embedding")
+            send = texts.map(lambda t: isinstance(t, str) and t.strip() != "").astype(bool)
+            for i in range(0, len(texts), PIECE):
+                yield _sent(texts.iloc[i : i + PIECE], send.iloc[i : i + PIECE], calls, "embedding")
 
     return _with(df, run.asNondeterministic()(text.cast("string")), {"embedding": "embedding", "embedding_error": "error", "embedding_tries": "tries"})
 

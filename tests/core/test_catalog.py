@@ -101,3 +101,10 @@ def test_engine_queries_equal_their_sql(spark):
         at = [[d[0] for d in want.description].index(c) for c in columns]
         rows = sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
         assert rows and sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == rows, name
+
+
+def test_vectors_leave_a_worker_in_pieces():
+    import pandas as pd
+
+    pieces = list(V._hashing(8, str.split).func(iter([pd.Series(["a b", None] * 600), pd.Series(["c"])])))
+    assert [len(p) for p in pieces] == [512, 512, 176, 1] and pieces[0].iloc[1].sum() == 0 and (pieces[0].iloc[0] == pieces[2].iloc[0]).all()
