@@ -48,6 +48,10 @@ FEW_TERMS = 200_000
 TEXT_A_PART = 12 << 20
 
 
+#: So many postings, counted once for each question that asks for their term, are scored by one task.
+PAIRS_A_PART = 1_000_000
+
+
 #: Words of more letters are compared by thirds, as their left-out strings would be as many as their letters.
 LONG_WORD = 40
 
@@ -104,19 +108,45 @@ def collection_stats(dl: DataFrame) -> DataFrame:
     return dl.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25_scores(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str = "chunk_id", places: int = 9) -> DataFrame:
-    """(qid, chunk, score) for distinct query terms(qid, tok); rounding makes sums in any order one value.
+def broadcast_if_few(terms: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A hint for tables of terms' size: to be broadcast where there are few."""
+    return F.broadcast if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS else (lambda df: df)
+
 
-    Only postings of query terms go on. Where the terms are few they and their frequencies are broadcast, so postings are dealt
-    once, by document, to meet lengths, and are summed where they are. The statistics are one row, broadcast as such.
+def asked_postings(terms: DataFrame, post: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, int]:
+    """((chunk, tok, tf, df) of the terms(qid, tok), how many parts they are dealt into by chunk).
+
+    Parts follow the pairs of a question and a posting, which are known from the frequencies, as each may become a sum of its own in
+    memory. Left to itself Spark makes as many parts of any table, or parts of as many compressed bytes, which postings multiply.
     """
     terms = terms.distinct()
-    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    small = F.broadcast if few else (lambda df: df)
-    needed = post.join(small(terms.select("tok").distinct()), "tok", "left_semi")
-    weighed = needed.join(small(document_frequency(needed)), "tok").join(dl, key).join(F.broadcast(collection_stats(dl)))
+    small = broadcast_if_few(terms)
+    frequency = settled_table(document_frequency(post.join(small(terms.select("tok").distinct()), "tok", "left_semi")))
+    pairs = terms.join(frequency, "tok").agg(F.sum("df")).first()[0] or 0
+    parts = max(post.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_A_PART))
+    return post.join(small(frequency), "tok").select(key, "tok", "tf", "df").repartition(parts, key), parts
+
+
+def by_question(rows: DataFrame, terms: DataFrame, parts: int, key: str = "chunk_id") -> DataFrame:
+    """``rows`` of ``asked_postings`` once for each question of terms(qid, tok), dealt by chunk still."""
+    terms = terms.distinct()
+    small = broadcast_if_few(terms)
+    met = rows.join(small(terms), "tok")
+    return met if small is F.broadcast else met.repartition(parts, key)
+
+
+def bm25_scores(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str = "chunk_id", places: int = 9, asked: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(qid, chunk, score) for distinct query terms(qid, tok); rounding makes sums in any order one value.
+
+    Only postings of query terms go on (``asked``, where they are at hand). Where the terms are few they and their frequencies are
+    broadcast, so postings are dealt once, by document, to meet lengths, and are summed where they are. The statistics are one row,
+    broadcast as such.
+    """
+    needed, parts = asked_postings(terms, post, key) if asked is None else asked
+    # lengths are dealt alike: a join would otherwise deal the postings again as the lengths happen to lie
+    weighed = needed.join(dl.repartition(parts, key), key).join(F.broadcast(collection_stats(dl)))
     part = weighed.select(key, "tok", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("part"))
-    return part.join(small(terms), "tok").groupBy("qid", key).agg(F.round(F.sum("part"), places).alias("score")).where("score > 0")
+    return by_question(part, terms, parts, key).groupBy("qid", key).agg(F.round(F.sum("part"), places).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", tie: str = "source_order", rank: str = "rank") -> DataFrame:

@@ -74,6 +74,22 @@ def test_cases_are_folded_by_one_worker_a_task(spark):
     assert scored._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_scores_are_dealt_by_pairs_of_questions_and_postings(spark, monkeypatch):
+    post = spark.createDataFrame([(k, f"w{j}", 1 + k % 2) for k in range(40) for j in range(3)], "chunk_id long, tok string, tf long")
+    dl = spark.createDataFrame([(k, 3 + 3 * (k % 2)) for k in range(40)], "chunk_id long, dl long")
+    terms = spark.createDataFrame([(1, "w0"), (1, "w1"), (2, "w1"), (2, "w1"), (2, "none")], "qid long, tok string")
+    usual = sorted(map(tuple, retrieval.bm25_scores(terms, post, dl).collect()))
+    monkeypatch.setattr(retrieval, "PAIRS_A_PART", 5)
+    small = retrieval.bm25_scores(terms, post, dl)
+    assert small.rdd.getNumPartitions() == 24 and sorted(map(tuple, small.collect())) == usual and len(usual) == 80
+    rows, parts = retrieval.asked_postings(terms, post)
+    assert (retrieval.by_question(rows, terms, parts).count(), parts) == (120, 24)
+    assert retrieval.bm25_scores(terms, post, dl, asked=(rows, parts)).count() == 80
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    assert sorted(map(tuple, retrieval.bm25_scores(terms, post, dl).collect())) == usual
+    assert retrieval.bm25_scores(terms.limit(0), post, dl).count() == 0
+
+
 def test_hash_embedding_has_the_default_dimension(spark, tmp_path):
     folder = written(spark, tmp_path, ["a few words about the limit", "others"])
     got = {r.doc_id: r.embedding for r in catalog.QUERIES["hash_embedding"](spark, folder).collect()}
